@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, simhash
+from . import mixing, packing, rules, simhash, topk
 
 QUERIES = {
     "op1_mix_entropy_balancing": mixing.op1,
+    "op5_topk_threshold_algorithm": topk.op5,
+    "op7_quality_rule_ledger": rules.op7,
     "op8_cost_balanced_packing": packing.op8,
     "op9_simhash_bk_trees": simhash.op9,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_topk_threshold_algorithm": topk.OP5_SQL,
+    "op7_quality_rule_ledger": rules.OP7_SQL,
+}
