@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, rules, simhash, topk
+from . import mixing, packing, quality, rules, secrets, simhash, topk
 
 QUERIES = {
     "op1_mix_entropy_balancing": mixing.op1,
+    "op4_secret_randomness_battery": secrets.op4,
     "op5_topk_threshold_algorithm": topk.op5,
+    "op6_importance_resampling": quality.op6,
     "op7_quality_rule_ledger": rules.op7,
     "op8_cost_balanced_packing": packing.op8,
     "op9_simhash_bk_trees": simhash.op9,
