@@ -33,7 +33,7 @@ def _float_text(x: float | None) -> str | None:
     return f"{x:.15f}".rstrip("0").rstrip(".") if math.isfinite(x) else {math.inf: "inf", -math.inf: "-inf"}.get(x, "NaN")
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def float_text(x: pa.Array) -> pa.Array:
     """Fifteen exact decimals, trimmed: no built-in expression expands the binary value exactly."""
     return pa.array(map(_float_text, x.to_pylist()), pa.string())

@@ -56,12 +56,11 @@ def fold_counters(ops: DataFrame, key: str, seq: str = "seq", kind: str = "kind"
     before the last set, replace, remove or clear has no effect, and after it sums suffice; both are plain aggregates.
     """
     resets = F.col(kind).isin("set", "replace", "remove", "clear")
-    last = ops.groupBy(key).agg(F.max(F.when(resets, F.col(seq))).alias("_at"), F.max_by(F.when(F.col(kind).isin("set", "replace"), F.col(value)).when(F.col(kind) == "clear", F.lit(0.0)), F.when(resets, F.col(seq))).alias("_from"))
-    rest = ops.join(last, F.col(key).eqNullSafe(last[key])).drop(last[key]).where(F.col("_at").isNull() | (F.col(seq) > F.col("_at")))
-    moved = rest.groupBy(F.col(key).alias("_k")).agg(F.sum(F.when(F.col(kind) == "increment", F.col(value)).when(F.col(kind) == "decrement", -F.col(value)).otherwise(0.0)).alias("_sum"))
-    out = last.join(moved, last[key].eqNullSafe(F.col("_k")), "left")
-    start = F.when(F.col("_at").isNull(), F.lit(0.0)).otherwise(F.col("_from"))
-    return out.select(key, (start + F.coalesce("_sum", F.lit(0.0))).alias("state"))
+    last = ops.groupBy(F.col(key).alias("_l")).agg(F.max(F.when(resets, F.col(seq))).alias("_at"), F.max_by(F.when(F.col(kind).isin("set", "replace"), F.col(value)).when(F.col(kind) == "clear", F.lit(0.0)), F.when(resets, F.col(seq))).alias("_from"))
+    rest = ops.join(last, F.col(key).eqNullSafe(F.col("_l"))).where(F.col("_at").isNull() | (F.col(seq) >= F.col("_at")))
+    moved = F.sum(F.when(F.col(kind) == "increment", F.col(value)).when(F.col(kind) == "decrement", -F.col(value)).otherwise(0.0))
+    start = F.when(F.max("_at").isNull(), F.lit(0.0)).otherwise(F.max("_from"))
+    return rest.groupBy(key).agg((start + moved).alias("state"))
 
 
 # -- array and map columns ----------------------------------------------------------------------------------------------

@@ -18,7 +18,7 @@ PRIMITIVES: dict[str, T.DataType] = {
     "null": T.NullType(), "bool": T.BooleanType(), "u8": T.ShortType(), "u16": T.IntegerType(), "u32": T.LongType(), "u64": T.DecimalType(20, 0),
     "i8": T.ByteType(), "i16": T.ShortType(), "i32": T.IntegerType(), "i64": T.LongType(), "f32": T.FloatType(), "f64": T.DoubleType(),
     "string": T.StringType(), "bytes": T.BinaryType(), "uuid": T.StringType(), "timestamp": T.StringType(), "date": T.StringType(), "duration": T.StringType(), "url": T.StringType(), "email": T.StringType(),
-    "decimal": T.StructType().add("scaled", "decimal(38,0)").add("scale", "int"), "money": T.StructType().add("currency", "string").add("scaled", "long").add("scale", "int"), "object": T.VariantType(), "table": T.VariantType(),
+    "decimal": T.StructType().add("scaled", T.DecimalType(38, 0)).add("scale", T.IntegerType()), "money": T.StructType().add("currency", T.StringType()).add("scaled", T.LongType()).add("scale", T.IntegerType()), "object": T.VariantType(), "table": T.VariantType(),
 }
 RANGES = {name: ((0, (1 << bits) - 1) if name[0] == "u" else (-(1 << bits - 1), (1 << bits - 1) - 1)) for bits in (8, 16, 32, 64) for name in (f"u{bits}", f"i{bits}")}
 UUID = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"

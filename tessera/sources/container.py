@@ -24,7 +24,7 @@ from .text import parse, write_value
 MAGIC = b"SX\0"
 VERSION = 1
 SCHEMA_HASH, LOGICAL_HASH = 1, 2
-SEGMENTS = ("envelope", "schema_ref", "shape_table", "dictionary", "value_data", "column_data", "blob", "delta", "extension", "hot_index", "presence_map")
+SEGMENTS = ("envelope", "hot_index", "shape_table", "dictionary", "value_data", "column_data", "tensor_data", "blob_data", "delta_data", "extension", "presence_map")
 VALUE_DATA, SHAPE_TABLE, DICTIONARY, HOT_INDEX, PRESENCE_MAP, COLUMN_DATA = 1, 2, 3, 4, 5, 6
 DICT, I64, BOOL, F64 = 1, 2, 3, 4
 ELEMENT = {"u8": (1, "<B"), "i32": (2, "<i"), "f32": (3, "<f"), "f64": (4, "<d"), "bool": (5, "<?")}
@@ -133,9 +133,9 @@ def put(v: Any) -> bytes:
     if v.kind == "typed_array":
         return b"\x31" + _typed(*x)
     if v.kind == "table":
-        return b"\x32" + put_varint(len(x)) + b"".join(put_text(k) + (b"\x01" + _typed(*c.value) if isinstance(c, Tagged) else b"\x02" + put_varint(len(c)) + b"".join(map(put, c))) for k, c in sorted(x.items()))
+        return b"\x32" + put_varint(len(x)) + b"".join(put_text(k) + (b"\x01" if isinstance(c, Tagged) else b"\x02") + put(c) for k, c in sorted(x.items()))
     if v.kind == "tensor":
-        return b"\x33" + put_varint(len(x[0])) + b"".join(map(put_varint, x[0])) + _typed(*x[1].value) + (b"\x01" + put_text(x[2]) if x[2] else b"\x00")
+        return b"\x33" + put_varint(len(x[0])) + b"".join(map(put_varint, x[0])) + _maybe(x[2], put_text) + put(x[1])
     if v.kind in ("timestamp", "date", "duration"):
         return {"timestamp": b"\x50", "date": b"\x51", "duration": b"\x52"}[v.kind] + put_text(x)
     if v.kind == "uuid":
@@ -145,7 +145,7 @@ def put(v: Any) -> bytes:
     if v.kind == "ref":
         return b"\x70" + put_text(x)
     if v.kind == "blob_ref":
-        return b"\x71" + put_text(x["uri"]) + _maybe(x.get("media_type"), put_text) + _maybe(x.get("size"), put_varint) + _maybe(x.get("hash"), bytes)
+        return b"\x71" + put_text(x["uri"]) + _maybe(x.get("media_type"), put_text) + _maybe(x.get("size"), put_varint) + _maybe(x.get("hash"), lambda h: put_varint(len(h)) + h)
     if v.kind == "map":
         return put({write_value(a): b for a, b in x})
     if v.kind == "message":
@@ -159,6 +159,8 @@ def _maybe(x: Any, f) -> bytes:
 
 def _typed(kind: str, items: list) -> bytes:
     code, form = ELEMENT[kind]
+    if kind == "bool":
+        return bytes([code]) + put_varint(len(items)) + put_bits(items)
     return bytes([code]) + put_varint(len(items)) + b"".join(struct.pack(form, x) for x in items)
 
 
@@ -167,6 +169,10 @@ def _take_typed(c: Cursor) -> Tagged:
     kind = next((k for k, (x, _) in ELEMENT.items() if x == code), None)
     if kind is None:
         raise StateError("type_mismatch", f"element {code}")
+    if kind == "bool":
+        n = c.varint()
+        bits = c.take((n + 7) // 8)
+        return Tagged("typed_array", (kind, [bool(bits[i >> 3] >> (i & 7) & 1) for i in range(n)]))
     return Tagged("typed_array", (kind, [c.unpack(ELEMENT[kind][1]) for _ in range(c.count())]))
 
 
@@ -199,12 +205,13 @@ def take(c: Cursor, depth: int = 0) -> Any:
         out = {}
         for _ in range(c.count()):
             name = c.text()
-            out[name] = _take_typed(c) if c.take(1)[0] == 1 else [inner() for _ in range(c.count())]
+            c.take(1)
+            out[name] = inner()
         return Tagged("table", out)
     if tag == 0x33:
         shape = [c.varint() for _ in range(c.count())]
-        data = _take_typed(c)
-        return Tagged("tensor", (shape, data, c.text() if c.take(1)[0] else None))
+        layout = c.text() if c.take(1)[0] else None
+        return Tagged("tensor", (shape, inner(), layout))
     if tag == 0x40:
         out = {}
         for _ in range(c.count()):
@@ -224,7 +231,7 @@ def take(c: Cursor, depth: int = 0) -> Any:
         uri = c.text()
         media = c.text() if c.take(1)[0] else None
         size = c.varint() if c.take(1)[0] else None
-        return Tagged("blob_ref", {"uri": uri, "media_type": media, "size": size, "hash": c.take(32) if c.take(1)[0] else None})
+        return Tagged("blob_ref", {"uri": uri, "media_type": media, "size": size, "hash": c.take(c.varint()) if c.take(1)[0] else None})
     raise StateError("type_mismatch", f"tag {tag:#x}")
 
 
@@ -316,6 +323,8 @@ def _strings(v: Any, keys: set, shapes: set) -> None:
     elif isinstance(v, list):
         for x in v:
             _strings(x, keys, shapes)
+    elif isinstance(v, Tagged) and v.kind == "table":
+        shapes.add(tuple(sorted(v.value)))
     elif isinstance(v, dict):
         keys.update(v)
         shapes.add(tuple(sorted(v)))
@@ -328,10 +337,10 @@ def encode(v: Any, schema_hash: bytes | None = None, logical_hash: bytes | None
     _strings(v, words, shapes)
     block = columnar(v)
     segments = [(VALUE_DATA, "value_data", 0, put(MARKERS[block[0]] if block else v))]
-    segments.append((SHAPE_TABLE, "shape_table", 0, put_varint(len(shapes)) + b"".join(put_varint(len(s)) + b"".join(map(put_text, s)) for s in sorted(shapes))))
+    segments.append((SHAPE_TABLE, "shape_table", 0, put_varint(len(shapes)) + b"".join(put_text(",".join(s)) for s in sorted(shapes))))
     segments.append((DICTIONARY, "dictionary", 0, put_varint(len(words)) + b"".join(map(put_text, sorted(words)))))
     if isinstance(v, dict):
-        segments.append((HOT_INDEX, "hot_index", 0, put_varint(len(v)) + b"".join(put_text(k) + put_varint(i) for i, k in enumerate(sorted(v)))))
+        segments.append((HOT_INDEX, "hot_index", 0, put_varint(len(v)) + b"".join(put_text(k) + put_varint(i) + put_varint(0) for i, k in enumerate(sorted(v)))))
     if isinstance(v, Tagged) and v.kind == "table":
         maps = [(k, [x is not None for x in (c.value[1] if isinstance(c, Tagged) else c)]) for k, c in sorted(v.value.items())]
         segments.append((PRESENCE_MAP, "presence_map", 0, put_varint(len(maps)) + b"".join(put_text(k) + put_varint(len(m)) + put_varint(len(put_bits(m))) + put_bits(m) for k, m in maps)))
