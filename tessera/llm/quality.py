@@ -2,11 +2,12 @@
 
 Two generative models over hashed n-grams, of the target text (labelled good and not toxic) and of the raw text (all
 documents), give a document the log weight sum n_g * log(p_target(g) / p_raw(g)). The target's counts are shrunk towards
-the raw model, and n-grams whose ratio is within a factor of two or a chance deviation say nothing, so that neither the
-length nor rare words decide. The k documents of the largest weight plus Gumbel noise are kept: Gumbel top-k, a sample
-without replacement by weight. k is the number of documents over the weight that parts labelled good and bad rows best.
+the raw model, and n-grams whose ratio is within a factor of three or a chance deviation say nothing, nor do those that the
+labelled bad rows do not confirm: text that is frequent only because it is copied often is not bad for that. So neither
+length nor rare words nor copies decide. The k documents of the largest weight plus Gumbel noise are kept: Gumbel top-k, a sample
+without replacement by weight. k is the number of documents over the weight that parts labelled good and bad rows best (a lost good row weighs more than a kept bad one).
 
-N-grams are words and word pairs (ASCII lower case, letters and digits) and shapes of white-space words and shape pairs.
+Each n-gram counts once a text. N-grams are words and word pairs (ASCII lower case, letters and digits) and shapes of white-space words and shape pairs.
 
 Defined cases: a null or empty text weighs 0; repeated rows get the same weight and noise; rows of labels that disagree
 count as bad; without labels of both kinds all documents are kept; an empty table gives no rows; other columns stay as they
@@ -24,12 +25,16 @@ from pyspark.sql import functions as F
 
 from .common import Chunk, chunks, cut_at, load, mixed, prefix, span, stored, words_of
 
-BUCKETS = 1 << 17
+#: First bucket and number of buckets of words, word pairs, shapes and shape pairs: apart, so that pairs do not drown words.
+TABLES = ((0, 1 << 17), (1 << 17, 1 << 16), (3 << 16, 1 << 15), (7 << 15, 1 << 15))
+BUCKETS = 1 << 18
 #: Labelled rows that the target model is fitted on at most, those of the least hashed id.
 LABEL_LIMIT = 100_000
 SHRINK = 4.0
-LEAST_RATIO = 2.0
-LEAST_DEVIATION = 4.0
+LEAST_RATIO = 3.0
+LEAST_DEVIATION = 3.0
+#: How much more a lost good row weighs than a kept bad one, where labels part the weights.
+GOOD_WEIGHT = 4.0
 NOISE = 0.05
 BLOCK = 1024
 
@@ -41,23 +46,23 @@ for _b in range(256):
     _SHAPE[_b] = 65 if 65 <= _b < 91 else 97 if 97 <= _b < 123 or _b >= 128 else 48 if 48 <= _b < 58 else _b
 
 
-def _grams(hashes: np.ndarray, heads: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the single items and pairs of consecutive ones within a text, and the text of each."""
+def _grams(hashes: np.ndarray, heads: np.ndarray, one: tuple[int, int], two: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the single items and of pairs of consecutive ones within a text, and the text of each."""
     doc = np.repeat(np.arange(len(heads) - 1), np.diff(heads))
-    one = mixed(hashes + np.uint64(salt))
     same = doc[1:] == doc[:-1]
-    two = mixed(one[:-1][same] * np.uint64(3) + one[1:][same])
-    return (np.concatenate([one, two]) % np.uint64(BUCKETS)).astype(np.int64), np.concatenate([doc, doc[1:][same]])
+    pairs = mixed(hashes[:-1][same] * np.uint64(3) + hashes[1:][same])
+    at = lambda h, table: (h % np.uint64(table[1])).astype(np.int64) + table[0]
+    return np.concatenate([at(hashes, one), at(pairs, two)]), np.concatenate([doc, doc[1:][same]])
 
 
 def features(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and text of each n-gram of the chunk."""
+    """Bucket and text of each distinct n-gram of the chunk's texts."""
     if not len(c.buf):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     # words of letters and digits: other bytes become blanks
     clean = Chunk(np.where(_IS_WORD[c.buf], _PLAIN[c.buf], np.uint8(32)), c.offs, c.first)
     starts, ends, heads = words_of(clean)
-    b1, d1 = _grams(mixed(span(prefix(clean.buf), starts, ends)), heads, 1)
+    b1, d1 = _grams(mixed(span(prefix(clean.buf), starts, ends)), heads, *TABLES[:2])
     # shapes: classes of bytes, runs of one class drawn together, within a white-space word
     starts, ends, heads = words_of(c)
     shape = _SHAPE[c.buf]
@@ -65,8 +70,10 @@ def features(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
     keep[1:] = shape[1:] != shape[:-1]
     keep[starts] = True
     at = np.concatenate([[0], np.cumsum(keep)])
-    b2, d2 = _grams(mixed(span(prefix(shape[keep]), at[starts], at[ends])), heads, 2)
-    return np.concatenate([b1, b2]), np.concatenate([d1, d2])
+    b2, d2 = _grams(mixed(span(prefix(shape[keep]), at[starts], at[ends])), heads, *TABLES[2:])
+    # each n-gram once a text: a line repeated a thousand times says no more than one
+    both = np.unique(np.concatenate([d1, d2]) * BUCKETS + np.concatenate([b1, b2]))
+    return both % BUCKETS, both // BUCKETS
 
 
 def labelled(labels: DataFrame, limit: int = LABEL_LIMIT) -> tuple[np.ndarray, np.ndarray]:
@@ -96,15 +103,17 @@ def ratios(documents: DataFrame, labels: DataFrame, limit: int = LABEL_LIMIT) ->
     told = sc.broadcast(known)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, BUCKETS), np.int64)
+        sums = np.zeros((3, BUCKETS), np.int64)  # raw, good, bad
         for batch in batches:
-            good = look_up(_ids(batch.column(0)), *told.value) == 1
+            label = look_up(_ids(batch.column(0)), *told.value)
             for c in chunks(batch.column(1)):
                 bucket, doc = features(c)
                 sums[0] += np.bincount(bucket, minlength=BUCKETS)
-                sums[1] += np.bincount(bucket[good[c.first + doc]], minlength=BUCKETS)
+                own = label[c.first + doc]
+                sums[1] += np.bincount(bucket[own == 1], minlength=BUCKETS)
+                sums[2] += np.bincount(bucket[own == 0], minlength=BUCKETS)
         if sums[0].any():
-            blocks = sums.reshape(2, -1, BLOCK)
+            blocks = sums.reshape(3, -1, BLOCK)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(blocks.shape[1], dtype=np.int32)), pa.array([blocks[:, k].tobytes() for k in range(blocks.shape[1])], pa.binary())], ["block", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,15 +126,20 @@ def ratios(documents: DataFrame, labels: DataFrame, limit: int = LABEL_LIMIT) ->
 
     schema = "block int, counts binary"
     parts = documents.select("doc_id", F.col("text").cast("binary")).mapInArrow(count, schema)
-    raw, target = np.zeros((2, BUCKETS))
+    raw, target, bad = counts = np.zeros((3, BUCKETS))
     for row in parts.repartition(16, "block").mapInArrow(add, schema).collect():  # BUCKETS counts, whatever the corpus
-        raw[row["block"] * BLOCK :][:BLOCK], target[row["block"] * BLOCK :][:BLOCK] = np.frombuffer(row["counts"], np.int64).reshape(2, -1)
-    if not target.sum():
+        counts[:, row["block"] * BLOCK :][:, :BLOCK] = np.frombuffer(row["counts"], np.int64).reshape(3, -1)
+    if not target.sum() or not bad.sum():
         return np.zeros(BUCKETS), known
-    expected = raw * (target.sum() / raw.sum())
-    ratio = np.log((target + SHRINK) / (expected + SHRINK))
-    chance = np.abs(target - expected) < LEAST_DEVIATION * np.sqrt(expected + 1)
-    ratio[chance | (np.abs(ratio) < np.log(LEAST_RATIO))] = 0
+
+    def over(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
+        """Log ratio, shrunk; none where it may be chance or is small."""
+        ratio = np.log((seen + SHRINK) / (expected + SHRINK))
+        ratio[(np.abs(seen - expected) < LEAST_DEVIATION * np.sqrt(expected + 1)) | (np.abs(ratio) < np.log(LEAST_RATIO))] = 0
+        return ratio
+
+    ratio = over(target, raw * (target.sum() / raw.sum()))
+    ratio[ratio * over(bad, target * (bad.sum() / target.sum())) >= 0] = 0
     return ratio, known
 
 
@@ -152,13 +166,13 @@ def with_weight(documents: DataFrame, ratio: np.ndarray, known: tuple[np.ndarray
 
 
 def parting(scores: DataFrame) -> float:
-    """The weight that parts labelled good from bad rows with the best balanced accuracy; the labelled rows are bounded."""
+    """The weight that parts labelled good from bad rows best, rates of loss weighed by GOOD_WEIGHT; the labelled rows are bounded."""
     rows = scores.where("_label >= 0").select("_weight", "_label").toPandas().sort_values("_weight")
     good, w = rows["_label"].to_numpy() == 1, rows["_weight"].to_numpy()
     if not good.any() or good.all():
         return -np.inf
     below = np.concatenate([[0], np.cumsum(good)]) / good.sum()
-    right = np.concatenate([[0], np.cumsum(~good)]) / (~good).sum() - below
+    right = np.concatenate([[0], np.cumsum(~good)]) / (~good).sum() - GOOD_WEIGHT * below
     edge = np.concatenate([[True], w[1:] > w[:-1], [True]])
     k = int(np.argmax(np.where(edge, right, -np.inf)))
     return -np.inf if k == 0 else w[-1] + 1 if k == len(w) else (w[k - 1] + w[k]) / 2
