@@ -1,0 +1,80 @@
+import time
+
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.functions import registry
+from tessera.functions.model import StateError
+from tessera.operators import frames as R
+from tessera.operators import schema as S
+from tessera.operators import table as V
+from tessera.sources import container, framestream
+from tessera.streaming.reassembly import reassemble_stream
+
+
+def test_stream_reassembly(spark, tmp_path):
+    own = R.split(spark.createDataFrame([("a", "hello world"), ("b", "x" * 30), ("c", "short")], "id string, text string"), "id", "text", 6)
+    bad = own.where("message_id = 'b' and chunk_index = 0")
+    for k, part in enumerate((own.where("chunk_index % 2 = 0"), own.where("chunk_index % 2 = 1").union(bad))):
+        part.coalesce(1).write.parquet(str(tmp_path / "in" / str(k)))
+    stream = spark.readStream.schema(own.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    q = reassemble_stream(stream).writeStream.format("memory").queryName("whole").option("checkpointLocation", str(tmp_path / "cp")).start()
+    end, got = time.time() + 90, set()
+    try:
+        while time.time() < end and len(got) < 3:  # timeouts keep batches coming, so there is no last one to wait for
+            time.sleep(1)
+            got = {(r["message_id"], r["payload"], r["error_code"]) for r in spark.table("whole").collect()}
+    finally:
+        q.stop()
+    assert {("a", "hello world", None), ("c", "short", None)} <= got and ("b", None, 1302) in got
+
+
+def test_frame_files(spark, tmp_path):
+    framestream.register(spark)
+    own = R.split(spark.createDataFrame([("a", bytearray(b"hello world")), ("b", bytearray(b""))], "id string, data binary"), "id", "data", 6)
+    own.select("kind", "message_id", *[F.col(c).cast("long") for c in ("chunk_index", "chunk_count", "segment_id", "offset", "length", "checksum")], "payload").write.format("frames").mode("append").save(str(tmp_path / "f"))
+    back = spark.read.format("frames").load(str(tmp_path / "f"))
+    assert back.where("message_id = 'a'").count() == 2
+    got = {r["message_id"]: bytes(r["payload"]) for r in R.reassemble(back).collect()}
+    assert got == {"a": b"hello world", "b": b""}
+
+
+def test_incomplete_and_zero_counts(spark):
+    rows = [("chunk", "a", 0, 2, "x"), ("chunk", "z", 0, 0, "x"), ("message", "m", 0, 1, "x"), ("chunk", None, 0, 1, "x")]
+    got = {r["message_id"]: r["error_code"] for r in R.reassemble(spark.createDataFrame(rows, "kind string, message_id string, chunk_index int, chunk_count int, payload string")).collect()}
+    assert got == {"a": 1305, "z": 1305, None: 1302}
+
+
+def test_schema_language_and_errors():
+    s = S.parse_schema("schema U v1 {\n  #1 id: uuid @hot\n  #2 tags?: string[]\n  #3 n: typed<u8>\n  #4 e: enum[a, b] = a\n}")
+    assert [f.type for f in s.fields] == ["uuid", "string[]", "typed<u8>", "enum[a,b]"] and s.fields[0].hints == ("hot",) and s.fields[3].default == "a"
+    assert s.hash() == S.Schema("U", 1, s.fields[::-1]).hash()
+    for bad in ("", "schema X v1 {\n}", "schema X v1 {\n nonsense\n}", "schema X v1 {\n #1 a: u8\n #1 b: u8\n}"):
+        with pytest.raises(StateError):
+            S.parse_schema(bad)
+    assert S.parse_schema("schema X vx {\n #1 a: u8\n}").version == 1
+
+
+def test_unknown_columns(spark):
+    df = spark.range(3)
+    with pytest.raises(StateError) as e:
+        V.filter_numeric(df, "no", "gt", 1)
+    assert e.value.code == 1203
+    with pytest.raises(StateError) as e:
+        V.scan_numeric_gt(df.select(F.col("id").cast("string").alias("s")), "s", 1)
+    assert e.value.code == 1102
+    assert V.filter_numeric(spark.createDataFrame([(float("nan"),), (1.0,)], "v double"), "v", "gt", 0).count() == 1
+
+
+def test_files_of_both_forms(spark, tmp_path):
+    (tmp_path / "a.sxb").write_bytes(container.encode({"a": 1}))
+    (tmp_path / "b.sx").write_text("{ a: 2 }")
+    (tmp_path / "c.sx").write_text("{ a: ")
+    got = {r["path"].rpartition("/")[2]: (r["value"], r["error_code"]) for r in container.load(spark, str(tmp_path)).collect()}
+    assert got == {"a.sxb": ('{"a":1}', None), "b.sx": ('{"a":2}', None), "c.sx": (None, 1301)}
+
+
+def test_sql_functions(spark):
+    registry.register(spark)
+    row = spark.sql("""SELECT state_parse_text('{ a: [1, 2] }') AS p, state_field('{"a":{"b":7}}', '/a/b') AS f, state_canonical('{"a":1}') AS c, state_parse_text('{') AS bad""").first()
+    assert (row["p"], row["f"], row["c"], row["bad"]) == ('{"a":[1,2]}', "7", "{a:i:1}", None)
