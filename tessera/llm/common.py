@@ -31,14 +31,16 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_LOCAL[0]}"
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, plain: bool = False) -> DataFrame:
     """df, written as Parquet to the shared folder and read again: cuts the lineage and survives lost executors.
 
-    The files go when the application ends.
+    Reads are split by bytes. plain: rows take the same bytes however alike they are, so that a task does not get very many
+    rows where a frequent key compresses them to almost nothing. The files go when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    how = {"compression": "none", "parquet.enable.dictionary": "false"} if plain else {"compression": "zstd"}
+    df.write.options(**how).parquet(path)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)

@@ -134,7 +134,7 @@ def repeated(documents: DataFrame, kind: Kind, limit: int = GROUP_LIMIT) -> Data
     runs = texts.mapInArrow(select, f"h long, ctx long, doc_id {key}, t int, lo int, n int, off int")
     met = runs.groupBy("h").agg(F.count("*").alias("_c"), F.min("ctx").alias("_c0"), F.max("ctx").alias("_c1")).where("_c > 1").select("h", (F.col("_c0") != F.col("_c1")).alias("many"))
     # stored, so that the join reads both sides from shuffles of its own and splits a frequent gram
-    met = stored(runs.join(stored(met), "h"))
+    met = stored(runs.join(stored(met), "h"), plain=True)
     whole = (F.col("lo").alias("a"), (F.col("lo") + F.col("n") + (w - 1)).alias("b"))
     cover = met.where("not many").select("doc_id", "t", *whole)
     many = met.where("many")
