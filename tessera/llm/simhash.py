@@ -205,21 +205,32 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).union(edges.select("b", "b").distinct())
 
 
-def near_duplicates(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fingerprint (long), component_id."""
-    prints = stored(fingerprints(documents))
+def _roots(prints: DataFrame, radius: int) -> DataFrame:
+    """fingerprint, component_id (the least doc_id of its component), for the fingerprints of prints (doc_id, fingerprint)."""
     nodes = stored(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("_least")))
     labels = components(links(nodes, radius))
     own = nodes.join(labels, nodes["fingerprint"] == labels["node"], "left")
     roots = own.where("label is not null").groupBy("label").agg(F.min("_least").alias("_root"))
-    classes = stored(own.join(roots, "label", "left").select("fingerprint", F.coalesce("_root", "_least").alias("component_id")))
-    return prints.join(classes, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    return stored(own.join(roots, "label", "left").select("fingerprint", F.coalesce("_root", "_least").alias("component_id")))
+
+
+def near_duplicates(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """doc_id, fingerprint (long), component_id."""
+    prints = stored(fingerprints(documents))
+    return prints.join(_roots(prints, radius), "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
 def deduplicated(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One document of each component, the one with the least doc_id; a repeated row once; rows without doc_id go."""
-    kept = near_duplicates(documents, radius).where("doc_id = component_id").select("doc_id")
-    return documents.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*[F.col(f"`{c}`") for c in documents.columns])
+    """One document of each component, the one with the least doc_id (null last), then the least text digest.
+
+    A row is known by doc_id and the digest of its text, so rows without doc_id, or that share one, are told apart.
+    """
+    digest = F.coalesce(F.sha2(F.col("text").cast("binary"), 256), F.lit(""))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", digest.alias("digest"))
+    kept = _roots(stored(fingerprints(documents.select(key.alias("doc_id"), "text"))), radius).select(F.col("component_id.doc_id").alias("_id"), F.col("component_id.digest").alias("_digest")).distinct()
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_row"), F.col("doc_id").alias("_own"), digest.alias("_text"))
+    rows = rows.join(kept, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_digest")), "left_semi").dropDuplicates(["_own", "_text"])
+    return rows.select(*[F.col(f"_row.`{c}`") for c in documents.columns])
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

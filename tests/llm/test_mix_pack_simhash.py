@@ -119,6 +119,15 @@ def test_simhash_edges(rows, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_simhash_keeps_one_of_each_group_whatever_the_ids(spark):
+    text = lambda k: " ".join(f"w{k}x{i * i % 97}" for i in range(80))
+    # groups 1 and 5 have ids, 2 and 3 none, 4 shares the id of a copy of 1
+    data = [(3, text(1)), (7, text(1)), (7, text(4)), (None, text(2)), (None, text(2)), (None, text(3)), (9, text(5)), (None, text(5)), (None, None), (None, "")]
+    docs = spark.createDataFrame([(*r, "x") for r in data], "doc_id long, text string, _text string")
+    kept = [(r["doc_id"], r["text"] or "") for r in simhash.deduplicated(docs).collect()]
+    assert sorted(kept, key=repr) == sorted([(3, text(1)), (7, text(4)), (None, text(2)), (None, text(3)), (9, text(5)), (None, "")], key=repr)
+
+
 def test_packing_round_trip(spark, rows):
     tokenizers = pytest.importorskip("tokenizers")
     import public_tokenizers
