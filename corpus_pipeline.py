@@ -30,7 +30,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, each in its sequence."""
-    return packing.packed(docs).drop("ids")
+    return packing.packed(docs, added=True).drop("ids")
 
 
 STAGES = [

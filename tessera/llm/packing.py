@@ -26,6 +26,8 @@ from .common import load
 
 LENGTH = 2048
 END_ID = 1
+#: The added tokens of the tokenizers file, which are no pieces of the rank file.
+ADDED = {"<|endoftext|>": 50256}
 #: Tokens that a block holds in a task's memory.
 BLOCK_TOKENS = 4 << 20
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
@@ -38,23 +40,25 @@ class Encoder:
 
     No token reaches over a space but at its start, so a text that has single spaces only is the chain of its pieces
     between spaces, each with the space before it; their ids are kept for reuse. Any other text is encoded as a whole.
+    With added, the added tokens of the tokenizers file are found in texts and take their own ids, as that file has it.
     """
 
-    def __init__(self, vocabulary: str | None = None, pattern: str | None = None):
+    def __init__(self, vocabulary: str | None = None, pattern: str | None = None, added: bool = False):
         import public_tokenizers
         import tiktoken
 
         path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.bpe = tiktoken.Encoding("byte-level", pat_str=pattern or public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.opens = np.zeros(max(ranks.values()) + 1, bool)
+        self.bpe = tiktoken.Encoding("byte-level", pat_str=pattern or public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=ADDED if added else {})
+        self.added = set(ADDED) if added else set()
+        self.opens = np.zeros(max(*ranks.values(), *ADDED.values()) + 1, bool)
         for token, i in ranks.items():
             self.opens[i] = token.startswith(b" ")
         self.known: dict[str, bytes] = {}
 
     def encode(self, text: str) -> np.ndarray:
-        return np.array(self.bpe.encode_ordinary(text), "<u4")
+        return np.array(self.bpe.encode(text, allowed_special=self.added, disallowed_special=()), "<u4")
 
     def learn(self, pieces: set[str]) -> None:
         new = list(pieces)
@@ -116,12 +120,15 @@ def assign(lengths: list[int], length: int = LENGTH) -> tuple[list[tuple[int, in
     return out, used + len(room)
 
 
-def packed(documents: DataFrame, length: int = LENGTH, vocabulary: str | None = None) -> DataFrame:
-    """A row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (binary)."""
+def packed(documents: DataFrame, length: int = LENGTH, vocabulary: str | None = None, added: bool = False) -> DataFrame:
+    """A row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (binary).
+
+    added: texts that hold an added token's content get its id, as tokenizers gives them unless told to encode special tokens.
+    """
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, first = Encoder(vocabulary), TaskContext.get().partitionId() << 32
+        encoder, first = Encoder(vocabulary, added=added), TaskContext.get().partitionId() << 32
         held, keys, tokens = [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -152,4 +159,4 @@ def packed(documents: DataFrame, length: int = LENGTH, vocabulary: str | None =
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(load(spark, sf_dir, "documents")).drop("ids")
+    return packed(load(spark, sf_dir, "documents"), added=True).drop("ids")

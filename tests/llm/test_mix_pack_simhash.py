@@ -155,6 +155,27 @@ def test_packing_round_trip(spark, rows):
         assert at <= 2048 and at & (at - 1) == 0
 
 
+def test_op8_finds_added_tokens_as_the_tokenizers_file_does(spark, tmp_path):
+    tokenizers = pytest.importorskip("tokenizers")
+    import corpus_pipeline
+    import public_tokenizers
+
+    t = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert packing.ADDED == {x.content: i for i, x in t.get_added_tokens_decoder().items()}
+    e = "<|endoftext|>"
+    texts = [e, f"one two{e}three four", f"a {e} b", f"a  {e}  b\n{e}", f"x <|endoftext |> y{e}{e} z's", f"q {e}", f" {e}s it's", "plain words here"]
+    encoder = packing.Encoder(added=True)
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.batch(texts) + encoder.batch(texts)] == 2 * [t.encode(x, add_special_tokens=False).ids for x in texts]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {k: [*t.encode(x, add_special_tokens=False).ids, 1] for k, x in enumerate(texts)}
+    for out in (packing.op8(spark, str(tmp_path)), corpus_pipeline.sequence_packing(spark, load(spark, str(tmp_path), "documents"), str(tmp_path))):
+        got = out.collect()
+        assert {r["doc_id"] for r in got} == set(want)
+        for r in got:
+            assert r["doc_tokens"] == len(want[r["doc_id"]])
+            assert r["ids_crc32"] == zlib.crc32(np.array(want[r["doc_id"]][r["start"] : r["start"] + r["length"]], "<u4").tobytes())
+
+
 def test_packing_balances_cost():
     lengths = np.random.default_rng(1).integers(1, 4000, 500).tolist()
     pieces, n = packing.assign(lengths)
