@@ -7,7 +7,8 @@ hold no repeat. Runs with equal gram and equal text are repeated as a whole, and
 share a gram but not their text are compared item by item, by the operator's own method, with their text fetched once for
 each distinct run. A gram with very many distinct runs is not gathered: its windows are dealt by their own hash instead.
 
-A document is known by doc_id and a hash of its text, so that repeated rows, and rows that share an id, are all judged.
+A document is known by doc_id and a wide digest of its text, so that repeated rows, and rows that share an id, are all judged,
+and no two texts are taken for one however many rows have one id or none.
 """
 
 from __future__ import annotations
@@ -131,7 +132,7 @@ def repeated(documents: DataFrame, kind: Kind, limit: int = GROUP_LIMIT) -> Data
                     at = pa.array(r["doc"] + c.first)
                     yield pa.RecordBatch.from_arrays([pa.array(r["h"]), pa.array(r["ctx"]), batch.column(0).take(at), batch.column(1).take(at), *[pa.array(r[k].astype(np.int32)) for k in ("lo", "n", "off")]], names)
 
-    runs = texts.mapInArrow(select, f"h long, ctx long, doc_id {key}, t int, lo int, n int, off int")
+    runs = texts.mapInArrow(select, f"h long, ctx long, doc_id {key}, t binary, lo int, n int, off int")
     met = runs.groupBy("h").agg(F.count("*").alias("_c"), F.min("ctx").alias("_c0"), F.max("ctx").alias("_c1")).where("_c > 1").select("h", (F.col("_c0") != F.col("_c1")).alias("many"))
     # stored, so that the join reads both sides from shuffles of its own and splits a frequent gram
     met = stored(runs.join(stored(met), "h"), plain=True)
@@ -170,8 +171,8 @@ def repeated(documents: DataFrame, kind: Kind, limit: int = GROUP_LIMIT) -> Data
                         yield pa.RecordBatch.from_arrays([part.field("h"), batch.column(0).take(same), batch.column(1).take(same), *[part.field(x) for x in ("lo", "n", "off", "once", "hot")], pa.array(data, pa.binary())], fields)
 
     found = texts.alias("d").join(ones.alias("o").hint("shuffle_hash"), same_document("d", "o")).select("d.doc_id", "d.t", "d.text", "o.r")
-    found = found.mapInArrow(_gathered(fetch), f"h long, doc_id {key}, t int, lo int, n int, off int, once boolean, hot boolean, text binary")
-    out = f"doc_id {key}, t int, a int, b int"
+    found = found.mapInArrow(_gathered(fetch), f"h long, doc_id {key}, t binary, lo int, n int, off int, once boolean, hot boolean, text binary")
+    out = f"doc_id {key}, t binary, a int, b int"
 
     def runs_in(batch: pa.RecordBatch) -> Runs:
         c = next(chunks(batch.column(8), 1 << 62))
@@ -221,11 +222,11 @@ def repeated(documents: DataFrame, kind: Kind, limit: int = GROUP_LIMIT) -> Data
                     x = b" ".join(data[i : i + w]) if kind.words else data[i : i + w]
                     yield pa.RecordBatch.from_pylist([{"k": hashlib.blake2b(x, digest_size=16).digest(), "doc_id": row["doc_id"], "t": row["t"], "a": row["lo"] + i, "b": row["lo"] + i + w}], schema)
 
-    schema = pa.schema([("k", pa.binary()), ("doc_id", pa.int64()), ("t", pa.int32()), ("a", pa.int32()), ("b", pa.int32())])
+    schema = pa.schema([("k", pa.binary()), ("doc_id", pa.int64()), ("t", pa.binary()), ("a", pa.int32()), ("b", pa.int32())])
     found = stored(found)
     cover = cover.union(found.where("not hot").repartition("h").sortWithinPartitions("h").mapInArrow(compare, out))
     if found.where("hot").limit(1).count():
-        dealt = stored(found.where("hot").mapInArrow(_rows(deal, schema), f"k binary, doc_id {key}, t int, a int, b int"))
+        dealt = stored(found.where("hot").mapInArrow(_rows(deal, schema), f"k binary, doc_id {key}, t binary, a int, b int"))
         twice = dealt.groupBy("k").agg(F.count("*").alias("_c")).where("_c > 1").select("k")
         cover = cover.union(dealt.join(twice, "k").select("doc_id", "t", "a", "b"))
     return cover
@@ -253,9 +254,9 @@ _rows = lambda f, schema: _gathered(f, 20_000)
 
 
 def texts_of(documents: DataFrame) -> DataFrame:
-    """doc_id, t (hash of the text), text (binary, null is empty)."""
+    """doc_id, t (128 bits of the text's digest), text (binary, null is empty)."""
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    return documents.select("doc_id", F.hash(text).alias("t"), text.alias("text"))
+    return documents.select("doc_id", F.unhex(F.substring(F.sha2(text, 256), 1, 32)).alias("t"), text.alias("text"))
 
 
 def removed(documents: DataFrame, cover: DataFrame, finish: Callable[[bytes, np.ndarray, np.ndarray], tuple], columns: list[tuple[str, str]]) -> DataFrame:

@@ -47,6 +47,22 @@ def test_words_against_brute_force(docs, limit):
     assert got == sorted(brute(texts, 35, bytes.split, b" ".join))
 
 
+def test_texts_of_equal_short_hash_are_told_apart(spark):
+    from pyspark.sql import functions as F
+
+    passage = " ".join(f"passage{i}" for i in range(40))
+    other = " ".join(f"other{i}" for i in range(50))
+    # the first two collide in 32 bits
+    texts = [f"{passage} 40396", f"{other} 175029", f"{passage} and no more"]
+    df = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    hashes = [r[0] for r in df.select(F.hash(F.col("text").cast("binary"))).collect()]
+    assert hashes[0] == hashes[1]
+    got = sorted((r["n_words"], r["n_removed"], r["kept_sha256"]) for r in blocks.deduplicated(df).collect())
+    assert got == sorted(brute(texts, 35, bytes.split, b" ".join))
+    got = sorted((r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in suffixes.deduplicated(df).collect())
+    assert got == sorted(brute(texts, 200, bytes, bytes))
+
+
 def test_empty(empty):
     assert suffixes.deduplicated(empty).count() == 0 and blocks.deduplicated(empty).count() == 0
 
