@@ -2,10 +2,13 @@
 
 A token of TOKEN is read in the narrowest encoding that its characters allow. Three tests ask whether it may be random:
 chi-squared for a uniform alphabet, runs about the middle of the alphabet, and serial correlation. Tokens that none of them
-rejects are held against the opposite null, that the token is text with the letter repetition of prose: under it the
-expected chi-squared grows with the length, so that a long token that still looks uniform has a small p-value and a short
-one cannot. The Benjamini-Hochberg step-up over all tokens of the corpus bounds the share of false finds; its threshold is
-the fixed point of t = q * #(p <= t) / #tokens, found by counting.
+rejects are held against the opposite null, that the token is text: under it letters repeat, so that the expected
+chi-squared grows with the length, and symbols of one class (upper, lower, digit, other) stand together, so that runs of one
+class are few; this serial dependence of classes parts text from noise also where a token is too short for chi-squared alone.
+The two deviations, each in units of its spread under text of that encoding, are drawn together into one p-value, so that a
+long token that still looks uniform has a small one. A Benjamini-Hochberg step-up over the tokens of each encoding in the
+corpus bounds the share of false finds among them, whatever the other encodings hold; its threshold is the fixed point of
+t = q * #(p <= t) / #tokens, found by counting. A token ends at an inner '='.
 
 Defined cases: a null or empty text has no spans; repeated rows are scanned each; an empty table gives no rows; other
 columns stay as they are in redacted(), and play no part in scan().
@@ -27,14 +30,19 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 KINDS = ("assign", "access", "hex", "random")
 
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
-#: Encodings in the order in which they are tried: pattern, alphabet, and k * (chance that two letters of prose agree) - 1.
+#: With '=' at the end only; of these, tokens are those of 20 characters or more.
+TOKEN = r"[A-Za-z0-9+/_-]{16,}=*"
+LEAST = 20
+#: Encodings in the order in which they are tried: pattern, alphabet, and of text in it: k * (chance that two symbols agree)
+#: - 1, share of symbols that change class, spread of that share within tokens (times root n) and between them. Set by
+#: simulation: ASCII prose written in hex, upper-case prose with some digits, identifiers and paths.
 ENCODINGS = (
-    ("decimal", r"^[0-9]+$", "0123456789", 0.0),
-    ("hex", r"^(?:[0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef", 0.6),
-    ("base32", r"^[A-Z2-7]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 1.1),
-    ("base64", r"^[A-Za-z0-9+/_-]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 3.2),
+    ("decimal", r"^[0-9]+$", "0123456789", 0.0, 0.0, 1.0, 0.0),
+    ("hex", r"^(?:[0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef", 1.2, 0.2, 0.6, 0.0),
+    ("base32", r"^[A-Z2-7]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 1.0, 0.08, 0.35, 0.03),
+    ("base64", r"^[A-Za-z0-9+/_-]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 2.6, 0.27, 0.8, 0.1),
 )
+ONE_CLASS = "[A-Z]+|[a-z]+|[0-9]+|[+/]+"
 FALSE_SHARE = 0.01
 REJECT = 0.001
 
@@ -70,8 +78,11 @@ def normal_cdf(z: Column) -> Column:
     return F.when(z < 0, tail).otherwise(1 - tail)
 
 
+TEXT = ("phi", "change", "within", "between")
+
+
 def _battery(token: Column) -> Column:
-    """p_text of a token that may be random, null of one that is not (or not tested)."""
+    """enc: index of the encoding; p: p_text of a token that may be random, 1 of one that is not, null of one not tested."""
     # upper-case hex counts as hex; the URL-safe digits of base64 as the plain ones; padding is not a symbol
     name = F.lit(None).cast("int")
     for k in reversed(range(len(ENCODINGS))):
@@ -79,7 +90,8 @@ def _battery(token: Column) -> Column:
     pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), name + 1)
     head = F.struct(
         F.translate(F.when(name == 1, F.lower(token)).otherwise(token), "-_=", "+/").alias("t"),
-        pick([e[2] for e in ENCODINGS]).alias("abc"), pick([float(len(e[2])) for e in ENCODINGS]).alias("k"), pick([e[3] for e in ENCODINGS]).alias("phi"), name.alias("enc"),
+        pick([e[2] for e in ENCODINGS]).alias("abc"), pick([float(len(e[2])) for e in ENCODINGS]).alias("k"), name.alias("enc"),
+        *[pick([e[k] for e in ENCODINGS]).alias(n) for k, n in enumerate(TEXT, 3)],
     )
 
     def tests(x):
@@ -94,7 +106,7 @@ def _battery(token: Column) -> Column:
             return F.struct((a["s"] + v).alias("s"), (a["q"] + v * v).alias("q"), F.when(first, F.lit(0.0)).otherwise(a["c"] + a["l"] * v).alias("c"), (a["r"] + new).alias("r"), (a["u"] + up.cast("double")).alias("u"), F.when(first, v).otherwise(a["f"]).alias("f"), v.alias("l"))
 
         sums = F.aggregate(F.filter(F.split(x["t"], ""), lambda c: c != ""), zero, step)
-        return F.struct(n.alias("n"), x["k"].alias("k"), x["phi"].alias("phi"), x["enc"].alias("enc"), squares.alias("sq"), sums.alias("a"))
+        return F.struct(n.alias("n"), x["k"].alias("k"), x["enc"].alias("enc"), *[x[c].alias(c) for c in TEXT], F.length(F.regexp_replace(x["t"], ONE_CLASS, "x")).cast("double").alias("g"), squares.alias("sq"), sums.alias("a"))
 
     def judge(x):
         n, k, a = x["n"], x["k"], x["a"]
@@ -111,40 +123,47 @@ def _battery(token: Column) -> Column:
         p_serial = F.when(about > 0, 2 * normal_cdf(-F.abs((r + 1 / n) * F.sqrt(n)))).otherwise(F.lit(0.0))
         random = 3 * F.least(p_uniform, p_runs, p_serial) > REJECT
         far = free + (n - 1) * x["phi"]
-        p_text = normal_cdf((chi - far) / F.sqrt(2 * (free + 2 * (n - 1) * x["phi"])))
-        return F.when(x["enc"].isNull() | (x["enc"] == 0) | (n < 16), F.lit(None).cast("double")).when(random, p_text).otherwise(F.lit(1.0))
+        even = (chi - far) / F.sqrt(2 * (free + 2 * (n - 1) * x["phi"]))
+        apart = ((x["g"] - 1) / (n - 1) - x["change"]) / F.sqrt(x["within"] * x["within"] / (n - 1) + x["between"] * x["between"])
+        p_text = normal_cdf((even - apart) / math.sqrt(2))
+        p = F.when(x["enc"].isNull() | (x["enc"] == 0) | (n < 16), F.lit(None).cast("double")).when(random, p_text).otherwise(F.lit(1.0))
+        return F.struct(p.alias("p"), x["enc"].alias("enc"))
 
     return F.transform(F.transform(F.array(head), tests), judge)[0]
 
 
 def found(text: Column) -> dict[str, Column]:
-    """base: (s, o, e) of the base kinds; tokens: (s, o, e, p) of the tested tokens."""
+    """base: (s, o, e) of the base kinds; tokens: (s, o, e, (p, enc)) of the tested tokens."""
     base = F.array_sort(F.concat(_spans(text, ASSIGN, 0, lambda g: F.length(g) >= 12), _spans(text, ACCESS, 1), _spans(text, HEX, 2)))
-    tokens = _spans(text, TOKEN, 3, value=lambda x: F.struct(x["s"], x["o"], x["e"], _battery(x["m"]).alias("p")))
-    return {"_base": base, "_tokens": F.filter(tokens, lambda x: x["p"].isNotNull())}
+    tokens = _spans(text, TOKEN, 3, value=lambda x: F.struct(x["s"], x["o"], x["e"], F.when(F.length(x["m"]) >= LEAST, _battery(x["m"])).alias("b")))
+    return {"_base": base, "_tokens": F.filter(tokens, lambda x: x["b"]["p"].isNotNull())}
 
 
 def scanned(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("_t")).select("doc_id", *[c.alias(n) for n, c in found(F.col("_t")).items()])
 
 
-def threshold(book: DataFrame, q: float = FALSE_SHARE) -> float:
-    """The p-value up to which tokens count as found: the step-up's, over all tokens of the scanned corpus."""
-    p = stored(book.select(F.explode("_tokens").alias("x")).select(F.col("x.p").alias("p")))
-    n, t = p.count(), q
-    while n:
-        hits = p.where(F.col("p") <= t).count()
-        if (new := q * hits / n) >= t:
-            return t
+def threshold(book: DataFrame, q: float = FALSE_SHARE) -> list[float]:
+    """For each encoding, the p-value up to which tokens count as found: the step-up's, over its tokens in the scanned corpus."""
+    p = stored(book.select(F.explode("_tokens").alias("x")).select("x.b.p", "x.b.enc"))
+    n = {r["enc"]: r["count"] for r in p.groupBy("enc").count().collect()}
+    t = [q if k in n else -1.0 for k in range(len(ENCODINGS))]
+    while any(x > 0 for x in t):
+        hits = {r["enc"]: r["count"] for r in p.where(F.col("p") <= _of(t, F.col("enc"))).groupBy("enc").count().collect()}
+        new = [min(x, q * hits[k] / n[k]) if k in hits else -1.0 for k, x in enumerate(t)]
+        if new == t:
+            break
         t = new
-        if not hits:
-            return -1.0
-    return -1.0
+    return t
+
+
+def _of(t: list[float], enc: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(x) for x in t]), enc + 1)
 
 
-def accepted(t: float) -> Column:
-    """Token spans up to the threshold that touch no base span."""
-    hits = F.filter("_tokens", lambda x: (x["p"] <= t) & ~F.exists("_base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+def accepted(t: list[float]) -> Column:
+    """Token spans up to the threshold of their encoding that touch no base span."""
+    hits = F.filter("_tokens", lambda x: (x["b"]["p"] <= _of(t, x["b"]["enc"])) & ~F.exists("_base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
     return F.transform(hits, lambda x: F.struct(x["s"], x["o"], x["e"]))
 
 

@@ -36,6 +36,22 @@ def test_secrets(spark, rows, empty):
     assert secrets.scan(rows).count() == rows.count() and secrets.scan(empty).count() == 0
 
 
+def test_secrets_in_each_encoding_among_many_ordinary_tokens(spark):
+    rng = random.Random(5)
+    letters, often = "etaoinshrdlcumwfgypbvk", [127, 91, 82, 75, 70, 67, 63, 61, 60, 43, 40, 28, 28, 24, 24, 22, 20, 20, 19, 15, 10, 8]
+    word = lambda: "".join(rng.choices(letters, often, k=rng.randint(3, 9)))
+    ordinary = [rng.choice(["/", "_", "-", ""]).join(word() for _ in range(6)) for _ in range(1500)]
+    planted = [
+        *[rng.randbytes(20).hex().upper() for _ in range(25)], *[base64.b32encode(rng.randbytes(20)).decode() for _ in range(25)],
+        *[base64.b64encode(rng.randbytes(18)).decode() for _ in range(25)], *["key=" + base64.b64encode(rng.randbytes(30)).decode() for _ in range(25)],
+    ]
+    df = spark.createDataFrame(list(enumerate([f"the {x} end" for x in planted + ordinary])), "doc_id long, text string").repartition(4)
+    marked = {r["doc_id"] for r in secrets.scan(df).collect() if any(x["o"] == 3 for x in r["spans"])}
+    share = [sum(i in marked for i in range(a, a + 25)) / 25 for a in (0, 25, 50, 75)]
+    assert share[0] >= 0.9 and share[1] >= 0.8 and share[2] >= 0.5 and share[3] >= 0.9, share
+    assert sum(i >= 100 for i in marked) <= 3
+
+
 def test_threshold_algorithm(spark):
     rng = np.random.default_rng(4)
     v = np.floor(256 * rng.normal(size=(400, 16)) * np.linspace(3, 0.1, 16))
