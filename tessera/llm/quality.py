@@ -1,11 +1,12 @@
 """Quality classifier by importance resampling.
 
-Two generative models over hashed n-grams, of the target text (labelled good and not toxic) and of the raw text (all
+Two generative models over n-grams (known by their whole 64-bit hash), of the target text (labelled good and not toxic) and of the raw text (all
 documents), give a document the log weight sum n_g * log(p_target(g) / p_raw(g)). The target's counts are shrunk towards
 the raw model, and n-grams whose ratio is within a factor of three or a chance deviation say nothing, nor do those that the
 labelled bad rows do not confirm: text that is frequent only because it is copied often is not bad for that. So neither
 length nor rare words nor copies decide. The k documents of the largest weight plus Gumbel noise are kept: Gumbel top-k, a sample
-without replacement by weight. k is the number of documents over the weight that parts labelled good and bad rows best (a lost good row weighs more than a kept bad one).
+without replacement by weight. The model holds every n-gram that passes these tests, so it grows with what the labelled rows
+tell; n-grams of which the labelled rows alone say nothing are not counted over all documents. k is the number of documents over the weight that parts labelled good and bad rows best (a lost good row weighs more than a kept bad one).
 
 Each n-gram counts once a text. N-grams are words and word pairs (ASCII lower case, letters and digits) and shapes of white-space words and shape pairs.
 
@@ -25,9 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import Chunk, chunks, cut_at, load, mixed, prefix, span, stored, words_of
 
-#: First bucket and number of buckets of words, word pairs, shapes and shape pairs: apart, so that pairs do not drown words.
-TABLES = ((0, 1 << 17), (1 << 17, 1 << 16), (3 << 16, 1 << 15), (7 << 15, 1 << 15))
-BUCKETS = 1 << 18
+#: Added to the hashes of words, word pairs, shapes and shape pairs, so that these are apart.
+WORDS, SHAPES = (np.uint64(1), np.uint64(2)), (np.uint64(3), np.uint64(4))
 #: Labelled rows that the target model is fitted on at most, those of the least hashed id.
 LABEL_LIMIT = 100_000
 SHRINK = 4.0
@@ -36,7 +36,6 @@ LEAST_DEVIATION = 3.0
 #: How much more a lost good row weighs than a kept bad one, where labels part the weights.
 GOOD_WEIGHT = 4.0
 NOISE = 0.05
-BLOCK = 1024
 
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[65:91] += 32
@@ -46,23 +45,22 @@ for _b in range(256):
     _SHAPE[_b] = 65 if 65 <= _b < 91 else 97 if 97 <= _b < 123 or _b >= 128 else 48 if 48 <= _b < 58 else _b
 
 
-def _grams(hashes: np.ndarray, heads: np.ndarray, one: tuple[int, int], two: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the single items and of pairs of consecutive ones within a text, and the text of each."""
+def _grams(hashes: np.ndarray, heads: np.ndarray, kinds: tuple[np.uint64, np.uint64]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the single items and of pairs of consecutive ones within a text, and the text of each."""
     doc = np.repeat(np.arange(len(heads) - 1), np.diff(heads))
     same = doc[1:] == doc[:-1]
     pairs = mixed(hashes[:-1][same] * np.uint64(3) + hashes[1:][same])
-    at = lambda h, table: (h % np.uint64(table[1])).astype(np.int64) + table[0]
-    return np.concatenate([at(hashes, one), at(pairs, two)]), np.concatenate([doc, doc[1:][same]])
+    return np.concatenate([mixed(hashes + kinds[0]), mixed(pairs + kinds[1])]), np.concatenate([doc, doc[1:][same]])
 
 
 def features(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and text of each distinct n-gram of the chunk's texts."""
+    """Hash and text of each n-gram of the chunk's texts, as often as it stands there."""
     if not len(c.buf):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     # words of letters and digits: other bytes become blanks
     clean = Chunk(np.where(_IS_WORD[c.buf], _PLAIN[c.buf], np.uint8(32)), c.offs, c.first)
     starts, ends, heads = words_of(clean)
-    b1, d1 = _grams(mixed(span(prefix(clean.buf), starts, ends)), heads, *TABLES[:2])
+    g1, d1 = _grams(mixed(span(prefix(clean.buf), starts, ends)), heads, WORDS)
     # shapes: classes of bytes, runs of one class drawn together, within a white-space word
     starts, ends, heads = words_of(c)
     shape = _SHAPE[c.buf]
@@ -70,10 +68,40 @@ def features(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
     keep[1:] = shape[1:] != shape[:-1]
     keep[starts] = True
     at = np.concatenate([[0], np.cumsum(keep)])
-    b2, d2 = _grams(mixed(span(prefix(shape[keep]), at[starts], at[ends])), heads, *TABLES[2:])
-    # each n-gram once a text: a line repeated a thousand times says no more than one
-    both = np.unique(np.concatenate([d1, d2]) * BUCKETS + np.concatenate([b1, b2]))
-    return both % BUCKETS, both // BUCKETS
+    g2, d2 = _grams(mixed(span(prefix(shape[keep]), at[starts], at[ends])), heads, SHAPES)
+    return np.concatenate([g1, g2]), np.concatenate([d1, d2])
+
+
+def _once(gram: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """A number for each n-gram of a text: a line repeated a thousand times says no more than one."""
+    return mixed(gram + mixed(doc.astype(np.uint64) + np.uint64(1)))
+
+
+def distinct(gram: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each n-gram once a text."""
+    at = np.unique(_once(gram, doc), return_index=True)[1]
+    return gram[at], doc[at]
+
+
+class Table:
+    """Sorted n-grams, found by their hash; most others are passed over by its upper bits."""
+
+    def __init__(self, grams: np.ndarray):
+        self.grams = grams
+        self.shift = np.uint64(64 - min(24, max(12, len(grams).bit_length() + 4)))
+        self.some = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.some[(grams >> self.shift).astype(np.int64)] = True
+
+    def find(self, gram: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place in the table and text of those n-grams that it has, each once a text."""
+        near = np.flatnonzero(self.some[(gram >> self.shift).astype(np.int64)])
+        gram, doc = gram[near], doc[near]
+        if not len(gram):
+            return np.zeros(0, np.int64), doc
+        at = np.minimum(np.searchsorted(self.grams, gram), len(self.grams) - 1)
+        hit = self.grams[at] == gram
+        gram, doc = distinct(gram[hit], doc[hit])
+        return np.searchsorted(self.grams, gram), doc
 
 
 def labelled(labels: DataFrame, limit: int = LABEL_LIMIT) -> tuple[np.ndarray, np.ndarray]:
@@ -96,54 +124,67 @@ def _ids(column: pa.Array) -> np.ndarray:
     return column.cast(pa.int64()).fill_null(np.iinfo(np.int64).min).to_numpy()
 
 
-def ratios(documents: DataFrame, labels: DataFrame, limit: int = LABEL_LIMIT) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
-    """log(p_target / p_raw) of each bucket, from counts over all documents; and the labelled ids."""
+def over(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """Log ratio, shrunk; none where it may be chance or is small."""
+    ratio = np.log((seen + SHRINK) / (expected + SHRINK))
+    ratio[(np.abs(seen - expected) < LEAST_DEVIATION * np.sqrt(expected + 1)) | (np.abs(ratio) < np.log(LEAST_RATIO))] = 0
+    return ratio
+
+
+def ratios(documents: DataFrame, labels: DataFrame, limit: int = LABEL_LIMIT) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """The n-grams that count, sorted, with log(p_target / p_raw) of each, from counts over all documents; and the labelled ids."""
     sc = documents.sparkSession.sparkContext
     known = labelled(labels, limit)
     told = sc.broadcast(known)
+    texts = documents.select("doc_id", F.col("text").cast("binary"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((3, BUCKETS), np.int64)  # raw, good, bad
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             label = look_up(_ids(batch.column(0)), *told.value)
+            own = label >= 0
+            batch, label = batch.filter(pa.array(own)), label[own]
             for c in chunks(batch.column(1)):
-                bucket, doc = features(c)
-                sums[0] += np.bincount(bucket, minlength=BUCKETS)
-                own = label[c.first + doc]
-                sums[1] += np.bincount(bucket[own == 1], minlength=BUCKETS)
-                sums[2] += np.bincount(bucket[own == 0], minlength=BUCKETS)
-        if sums[0].any():
-            blocks = sums.reshape(3, -1, BLOCK)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(blocks.shape[1], dtype=np.int32)), pa.array([blocks[:, k].tobytes() for k in range(blocks.shape[1])], pa.binary())], ["block", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+                gram, doc = distinct(*features(c))
+                gram, at = np.unique(gram, return_inverse=True)
+                good = label[c.first + doc] == 1
+                sums = [np.bincount(at[x], minlength=len(gram)) for x in (good, ~good)]
+                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), *map(pa.array, sums)], ["gram", "good", "bad"])
+
+    seen = stored(texts.mapInArrow(tell, "gram long, good long, bad long").groupBy("gram").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")))
+    n_good, n_bad = (float(x or 0) for x in seen.agg(F.sum("good"), F.sum("bad")).first())
+    none = (np.zeros(0, np.uint64), np.zeros(0))
+    if not n_good or not n_bad:
+        return none, known
+    # what over() may take of labelled good against bad: the others have no weight, whatever their count over all documents
+    expected = F.col("good") * (n_bad / n_good)
+    apart = (F.abs(F.col("bad") - expected) >= (LEAST_DEVIATION - 1e-6) * F.sqrt(expected + 1)) & (F.abs(F.log((F.col("bad") + SHRINK) / (expected + SHRINK))) >= np.log(LEAST_RATIO) - 1e-6)
+    rows = seen.where(apart).toArrow()
+    grams, target, bad = (rows.column(k).to_numpy() for k in range(3))
+    order = np.argsort(grams.view(np.uint64))
+    grams, target, bad = grams.view(np.uint64)[order], target[order].astype(float), bad[order].astype(float)
+    sent = sc.broadcast(grams)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = Table(sent.value)
+        sums, total = np.zeros(len(table.grams), np.int64), 0
         for batch in batches:
-            for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[k] = sums.get(k, 0) + np.frombuffer(x, np.int64)
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["block", "counts"])
-
-    schema = "block int, counts binary"
-    parts = documents.select("doc_id", F.col("text").cast("binary")).mapInArrow(count, schema)
-    raw, target, bad = counts = np.zeros((3, BUCKETS))
-    for row in parts.repartition(16, "block").mapInArrow(add, schema).collect():  # BUCKETS counts, whatever the corpus
-        counts[:, row["block"] * BLOCK :][:, :BLOCK] = np.frombuffer(row["counts"], np.int64).reshape(3, -1)
-    if not target.sum() or not bad.sum():
-        return np.zeros(BUCKETS), known
-
-    def over(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
-        """Log ratio, shrunk; none where it may be chance or is small."""
-        ratio = np.log((seen + SHRINK) / (expected + SHRINK))
-        ratio[(np.abs(seen - expected) < LEAST_DEVIATION * np.sqrt(expected + 1)) | (np.abs(ratio) < np.log(LEAST_RATIO))] = 0
-        return ratio
-
-    ratio = over(target, raw * (target.sum() / raw.sum()))
-    ratio[ratio * over(bad, target * (bad.sum() / target.sum())) >= 0] = 0
-    return ratio, known
-
-
-def with_weight(documents: DataFrame, ratio: np.ndarray, known: tuple[np.ndarray, np.ndarray], text: bool) -> DataFrame:
+            for c in chunks(batch.column(1)):
+                gram, doc = features(c)
+                total += len(np.unique(_once(gram, doc)))
+                sums += np.bincount(table.find(gram, doc)[0], minlength=len(sums))
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int64()), pa.array([total, *sums[at].tolist()], pa.int64())], ["at", "raw"])
+
+    raw, n_raw = np.zeros(len(grams)), 0.0
+    rows = texts.mapInArrow(count, "at long, raw long").groupBy("at").agg(F.sum("raw").alias("raw")).toArrow()
+    at, sums = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+    raw[at[at >= 0]], n_raw = sums[at >= 0], float(sums[at < 0].sum())
+    ratio = over(target, raw * (n_good / n_raw))
+    ratio[ratio * over(bad, target * (n_bad / n_good)) >= 0] = 0
+    return (grams[ratio != 0], ratio[ratio != 0]), known
+
+
+def with_weight(documents: DataFrame, ratio: tuple[np.ndarray, np.ndarray], known: tuple[np.ndarray, np.ndarray], text: bool) -> DataFrame:
     """documents (or doc_id alone) with _weight and _label: 1 good, 0 bad, -1 not labelled."""
     sent = documents.sparkSession.sparkContext.broadcast((ratio, known))
     own = documents if text else documents.select("doc_id", "text")
@@ -152,12 +193,13 @@ def with_weight(documents: DataFrame, ratio: np.ndarray, known: tuple[np.ndarray
     at_id, at_text, kept = names.index("doc_id"), names.index("text"), [names.index(n) for n in out]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, told = sent.value
+        (grams, ratio), told = sent.value
+        table = Table(grams)
         for batch in batches:
             weight = np.zeros(batch.num_rows)
             for c in chunks(batch.column(at_text)):
-                bucket, doc = features(c)
-                weight[c.first : c.first + c.n] = np.bincount(doc, table[bucket], c.n)
+                at, doc = table.find(*features(c))
+                weight[c.first : c.first + c.n] = np.bincount(doc, ratio[at], c.n)
             label = look_up(_ids(batch.column(at_id)), *told)
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in kept], pa.array(weight), pa.array(label)], [*out, "_weight", "_label"])
 
@@ -185,7 +227,7 @@ def gumbel_key(mid: float, seed: int = 11) -> Column:
     return F.least(1 / (1 + F.exp(F.greatest(F.least(z, F.lit(500.0)), F.lit(-500.0)))), F.lit(1 - 1e-12))
 
 
-def weighed(documents: DataFrame, labels: DataFrame) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray], DataFrame, float, float]:
+def weighed(documents: DataFrame, labels: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray], DataFrame, float, float]:
     """The model, its labels, doc_id with _weight and _label, the parting weight and the cut of gumbel_key."""
     ratio, known = ratios(documents, labels)
     scores = stored(with_weight(documents, ratio, known, False))

@@ -105,6 +105,25 @@ def test_quality_parts_bad_from_good(spark, rows, empty):
     assert quality.selected(empty, labels).count() == 0
 
 
+def test_quality_tells_words_apart_that_share_a_bucket(spark):
+    from tessera.llm.common import mixed, prefix, span
+
+    rng = random.Random(2)
+    made = ["".join(rng.choices("abcdefghij", k=7)) for _ in range(1_500_000)]
+    line = np.frombuffer(" ".join(["vileone", *made]).encode(), np.uint8)
+    at = np.arange(len(made) + 1) * 8
+    bucket = mixed(span(prefix(line), at, at + 7)) % np.uint64(1 << 17)
+    alike = [made[i - 1] for i in np.flatnonzero(bucket == bucket[0])[1:]]
+    assert len(alike) > 3
+    usual = made[:300]
+    texts = [(i, " ".join(rng.sample([*rng.choices(usual, k=60), *alike[:3], *(["vileone"] if i % 5 == 0 else [])], 63))) for i in range(600)]
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(300)], "doc_id long, quality int, toxic int")
+    grams, ratio = quality.ratios(spark.createDataFrame(texts, "doc_id long, text string"), labels)[0]
+    c = quality.Chunk(np.frombuffer(b"vileone", np.uint8), np.array([0, 7]), 0)
+    own = np.isin(grams, quality.features(c)[0])
+    assert own.any() and (ratio[own] < 0).all()
+
+
 def test_pages(spark):
     chain = html.model()
     wrong = total = 0
