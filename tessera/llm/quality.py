@@ -5,13 +5,14 @@ documents), give a document the log weight sum n_g * log(p_target(g) / p_raw(g))
 the raw model, and n-grams whose ratio is within a factor of three or a chance deviation say nothing, nor do those that the
 labelled bad rows do not confirm: text that is frequent only because it is copied often is not bad for that. So neither
 length nor rare words nor copies decide. The k documents of the largest weight plus Gumbel noise are kept: Gumbel top-k, a sample
-without replacement by weight. The model holds every n-gram that passes these tests, so it grows with what the labelled rows
+without replacement by weight to the power 1 / NOISE = 20: with the noise of a sample by weight itself, one n-gram that
+counts (a log ratio of 1.1 at least) would seldom decide, so the draw is close to a cut at the parting weight. The model holds every n-gram that passes these tests, so it grows with what the labelled rows
 tell; n-grams of which the labelled rows alone say nothing are not counted over all documents. k is the number of documents over the weight that parts labelled good and bad rows best (a lost good row weighs more than a kept bad one).
 
 Each n-gram counts once a text. N-grams are words and word pairs (ASCII lower case, letters and digits) and shapes of white-space words and shape pairs.
 
 Defined cases: a null or empty text weighs 0; repeated rows get the same weight and noise; rows of labels that disagree
-count as bad; without labels of both kinds all documents are kept; an empty table gives no rows; other columns stay as they
+count as bad, as do toxic ones whatever their quality; without labels of both kinds all documents are kept; an empty table gives no rows; other columns stay as they
 are in selected(), and play no part in weighed().
 """
 
@@ -106,8 +107,8 @@ class Table:
 
 def labelled(labels: DataFrame, limit: int = LABEL_LIMIT) -> tuple[np.ndarray, np.ndarray]:
     """Sorted ids and whether each is good, of at most limit labelled documents."""
-    good = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
-    rows = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(good.cast("int")).alias("good"))
+    good = (F.coalesce("quality", F.lit(0)) == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
+    rows = labels.where("doc_id is not null and (quality is not null or toxic = 1)").groupBy("doc_id").agg(F.min(good.cast("int")).alias("good"))
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).toPandas().sort_values("doc_id")
     return rows["doc_id"].to_numpy(np.int64), rows["good"].to_numpy(np.int8)
 

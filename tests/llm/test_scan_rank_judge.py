@@ -124,6 +124,11 @@ def test_quality_tells_words_apart_that_share_a_bucket(spark):
     assert own.any() and (ratio[own] < 0).all()
 
 
+def test_toxic_rows_are_bad_whatever_their_quality(spark):
+    labels = spark.createDataFrame([(1, None, 1), (2, 1, None), (3, 0, 0), (4, None, 0), (5, 1, 1)], "doc_id long, quality int, toxic int")
+    assert [x.tolist() for x in quality.labelled(labels)] == [[1, 2, 3, 5], [0, 1, 0, 0]]
+
+
 def test_pages(spark):
     chain = html.model()
     wrong = total = 0
