@@ -143,10 +143,11 @@ def word_hashes(c: Chunk, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 # -- ranks over all rows without a sort into one task -------------------------------------------------------------
 
 
-def cut_at(df: DataFrame, key: str, by: str | None, wanted: DataFrame | float, weight: str | None = None, bins: int = 512, rounds: int = 5) -> DataFrame | float:
+def cut_at(df: DataFrame, key: str, by: str | None, wanted: DataFrame | float, weight: str | None = None, bins: int = 512, rounds: int = 6) -> DataFrame | float:
     """The value c of the double column key such that the rows with key < c carry nearly, and at most, the wanted weight.
 
-    Histograms of ever narrower bins narrow c down; each is one aggregation with partial sums, and no group is gathered.
+    Histograms of ever narrower bins narrow c down; each is one aggregation with partial sums, and no group is gathered. Six
+    rounds of 512 bins are 2 ** 54, so that only rows of the same double stay together.
     With by, one cut for each value of that column, from wanted (by, wanted); else one number. key must be within [0, 1).
     """
     one = by is None
