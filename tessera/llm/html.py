@@ -7,8 +7,10 @@ main make up the text. Blocks within an element that cannot hold main text (scri
 The labelled pages are written by training_pages(), in many layouts; the model is a few hundred weights.
 
 Defined cases: a null or empty page, and one without main blocks, has the empty text; unclosed and stray tags are mended
-as browsers do for paragraphs, list items and table cells; repeated rows are pages of their own; an empty table gives no
-rows; other columns play no part.
+as browsers do for paragraphs, list items and table cells; a tag or quote that never ends is text; very long and very deeply
+nested pages take time in proportion to their length; a form that opens the page before any text holds blocks like any
+element (some sites put the whole page in one); repeated rows are pages of their own; an empty table gives no rows; other
+columns play no part.
 """
 
 from __future__ import annotations
@@ -34,110 +36,215 @@ DROP = frozenset("script style textarea noscript template iframe svg math head t
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 ENDS_P = BLOCK - {"html", "body", "head", "title"}
 
-_TAG = re.compile(r"""<(?:!--(?:.*?)(?:-->|\Z)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)>)""", re.S)
-_ATTR = re.compile(r"""(class|id|role|data-y)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_GAP = re.compile(r"[\s/]*")
+_KEY = re.compile(r"=?[^\s/>=]*")
+_IS = re.compile(r"\s*=\s*")
+_BARE = re.compile(r"[^\s>]*")
+_STOP = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 _WORDS = re.compile(r"[a-z]+")
+_ZEROS, _LONG = re.compile(r"&#0+(?=[0-9])"), re.compile(r"&#[0-9]{8,};?")
 
 
 class Block:
-    __slots__ = ("linked", "mark", "path", "text")
+    """A leaf block. score: weight of its ancestors' features; features: these by name, only where no weights are given."""
+
+    __slots__ = ("features", "linked", "mark", "score", "text")
+
+    def __init__(self, text: str, linked: int, score: float = 0.0, features: frozenset = frozenset(), mark: str | None = None):
+        self.text, self.linked, self.score, self.features, self.mark = text, linked, score, features, mark
+
+
+class Scanner:
+    """Tags of a page from left to right; no character is looked at more than a few times, whatever the page holds."""
+
+    def __init__(self, page: str):
+        self.page, self.none = page, {}
+
+    def find(self, what: str, at: int) -> int:
+        """Place of what from at on, or -1; once there is none it is not searched for again."""
+        if what in self.none and at >= self.none[what]:
+            return -1
+        to = self.page.find(what, at)
+        if to < 0:
+            self.none[what] = at
+        return to
+
+    def attributes(self, at: int) -> tuple[list[tuple[str, str]], int, bool]:
+        """Those of a tag, the place behind it, and whether it closes itself. A quote without end does not quote."""
+        page, out = self.page, []
+        while True:
+            gap = _GAP.match(page, at).end()
+            closes = gap > at and page[gap - 1] == "/"
+            if gap >= len(page):
+                return out, len(page), closes
+            if page[gap] == ">":
+                return out, gap + 1, closes
+            at = _KEY.match(page, gap).end()
+            key, value = page[gap:at], ""
+            if m := _IS.match(page, at):
+                at = m.end()
+                quote = page[at : at + 1]
+                to = self.find(quote, at + 1) if quote in ('"', "'") and quote else -1
+                if to >= 0:
+                    value, at = page[at + 1 : to], to + 1
+                else:
+                    to = _BARE.match(page, at).end()
+                    value, at = page[at:to], to
+            out.append((key, value))
+
 
-    def __init__(self, path: tuple, text: str, linked: int, mark: str | None):
-        self.path, self.text, self.linked, self.mark = path, text, linked, mark
+class _Open:
+    """The open elements, with what is asked of them kept up to date: last places by tag, links, and the features' weight."""
 
+    def __init__(self, weights: dict[str, float] | None):
+        self.weights, self.tags, self.undo, self.marks = weights, [], [], []
+        self.places: dict[str, list[int]] = {}
+        self.present: dict[str, int] = {}
+        self.score, self.dropped, self.inner = 0.0, 0, 0
 
-def leaf_blocks(page: str) -> list[Block]:
-    """The leaf blocks with text, in page order. path: (tag, class words) of each ancestor, outermost first."""
+    def last(self, *tags: str) -> int:
+        return max((self.places[t][-1] if self.places.get(t) else -1 for t in tags), default=-1)
+
+    def push(self, tag: str, names: str, mark: str | None, drop: bool) -> None:
+        self.places.setdefault(tag, []).append(len(self.tags))
+        own = set()
+        if tag not in ("html", "body"):
+            own.add(f"in={tag}")
+        own.update(f"class={w}" for w in _WORDS.findall(names))
+        self.undo.append((own, self.score, drop))
+        for f in own:
+            n = self.present.get(f, 0)
+            if not n and self.weights:
+                self.score += self.weights.get(f, 0.0)
+            self.present[f] = n + 1
+        self.inner += tag not in ("html", "body")
+        self.tags.append(tag)
+        self.marks.append(mark or (self.marks[-1] if self.marks else None))
+        self.dropped += drop
+
+    def pop(self) -> None:
+        tag = self.tags.pop()
+        self.places[tag].pop()
+        self.inner -= tag not in ("html", "body")
+        own, self.score, drop = self.undo.pop()
+        for f in own:
+            self.present[f] -= 1
+        self.marks.pop()
+        self.dropped -= drop
+
+
+def leaf_blocks(page: str, weights: dict[str, float] | None = None) -> list[Block]:
+    """The leaf blocks with text, in page order. Time and memory grow with the page's length alone, not with its nesting."""
     out: list[Block] = []
-    stack: list[tuple[str, str, str | None]] = []  # tag, class words, training mark
+    scan, open_ = Scanner(page), _Open(weights)
     held: list[str] = []
-    linked = dropped = links = 0
+    links: list[int] = []  # the depths at which links are open
+    linked = 0
+
+    def text(a: int, b: int) -> None:
+        nonlocal linked
+        if b > a and not open_.dropped:
+            held.append(page[a:b])
+            if links:
+                linked += b - a
 
     def end() -> None:
         nonlocal linked
         if held:
-            text = " ".join(unescape("".join(held)).split())
-            if text:
-                out.append(Block(tuple((t, c) for t, c, _ in stack if t in BLOCK), text, linked, next((m for _, _, m in reversed(stack) if m), None)))
+            raw = "".join(held)
+            if "&#" in raw:
+                raw = _LONG.sub("\ufffd", _ZEROS.sub("&#", raw))
+            shown = " ".join(unescape(raw).split())
+            if shown:
+                tag = open_.tags[-1] if open_.tags else ""
+                if weights is None:
+                    out.append(Block(shown, linked, 0.0, frozenset([f"own={tag}", *(f for f, n in open_.present.items() if n)]), open_.marks[-1] if open_.marks else None))
+                else:
+                    out.append(Block(shown, linked, open_.score + weights.get(f"own={tag}", 0.0)))
             held.clear()
         linked = 0
 
-    def text(piece: str) -> None:
-        nonlocal linked
-        if piece and not dropped:
-            held.append(piece)
-            if links:
-                linked += len(piece)
-
     def close(depth: int) -> None:
-        nonlocal dropped, links
-        while len(stack) > depth:
-            tag = stack[-1][0]
-            if tag in BLOCK:
-                end()
-            dropped -= tag in DROP
-            links -= tag == "a"
-            stack.pop()
+        if len(open_.tags) > depth:
+            end()
+            while len(open_.tags) > depth:
+                open_.pop()
+            while links and links[-1] > depth:
+                links.pop()
 
     at, n = 0, len(page)
     while at < n:
-        m = _TAG.search(page, at)
-        if not m:
-            text(page[at:])
+        lt = scan.find("<", at)
+        if lt < 0:
+            text(at, n)
             break
-        text(page[at : m.start()])
-        at = m.end()
-        tag = m[2] or m[5]
-        if not tag:
+        text(at, lt)
+        sign = page[lt + 1 : lt + 2]
+        if sign in ("!", "?"):
+            comment = page.startswith("<!--", lt)
+            to = scan.find("-->", lt + 2) if comment else scan.find(">", lt)
+            if to < 0:
+                if comment:
+                    break
+                text(lt, lt + 1)
+                at = lt + 1
+            else:
+                at = to + (3 if comment else 1)
             continue
-        tag = tag.lower()
-        if m[1] or m[4]:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), -1)
-            if depth >= 0:
-                close(depth)
-            elif tag in BLOCK:
-                end()
+        ends = sign == "/"
+        m = _NAME.match(page, lt + 1 + ends)
+        if not m:
+            to = scan.find(">", lt) if ends else -1
+            if to >= 0:  # a stray end: a comment to browsers
+                at = to + 1
+            else:
+                text(lt, lt + 1)
+                at = lt + 1
+            continue
+        if scan.find(">", m.end()) < 0:  # never closed: no tag
+            text(lt, m.end())
+            at = m.end()
+            continue
+        tag = m[0].lower()
+        attrs, at, alone = scan.attributes(m.end())
+        if ends:
+            if tag == "a":
+                if links:
+                    links.pop()
+            elif tag in BLOCK or tag in DROP or tag in RAW:
+                if (depth := open_.last(tag)) >= 0:
+                    close(depth)
+                elif tag in BLOCK:
+                    end()
             elif tag == "br":
-                text(" ")
+                held.append(" ")
             continue
         if tag in BLOCK:
-            if tag in ENDS_P:
-                depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p"), -1)
-                if depth >= 0 and not any(s[0] in ("td", "th", "table", "button") for s in stack[depth:]):
-                    close(depth)
+            if tag in ENDS_P and (depth := open_.last("p")) >= 0 and depth > open_.last("td", "th", "table", "button"):
+                close(depth)
             if tag in CLOSES:
                 own, stops = CLOSES[tag]
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in stops:
-                        break
-                    if stack[k][0] in own:
-                        close(k)
-                        break
+                if (depth := open_.last(*own)) > open_.last(*stops):
+                    close(depth)
             end()
         if tag in VOID:
-            text(" ")
+            held.append(" ")
             continue
-        attrs = m[3] or m[6] or ""
-        names, mark = "", None
-        if "=" in attrs:
-            for a in _ATTR.finditer(attrs):
-                value = a[2] or a[3] or a[4] or ""
-                if a[1].lower() == "data-y":
-                    mark = value
-                else:
-                    names += " " + value.lower()
-        if attrs.endswith("/") and tag not in BLOCK:
+        if tag == "a":
+            links.append(len(open_.tags))
+            continue
+        if tag not in BLOCK and (alone or tag not in DROP and tag not in RAW):
             continue
-        stack.append((tag, names.strip(), mark))
-        dropped += tag in DROP
-        links += tag == "a"
+        names = " ".join(v for k, v in attrs if k.lower() in ("class", "id", "role")).lower()
+        # a form around the whole page, before any text of it, is no form to a reader
+        drop = tag in DROP and not (tag == "form" and not out and not open_.inner)
+        open_.push(tag, names, next((v for k, v in attrs if k == "data-y"), None), drop)
         if tag in RAW:
-            stop = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
-            if not stop:
-                text(page[at:])
-                break
-            text(page[at : stop.start()])
-            at = stop.start()
+            stop = _STOP[tag].search(page, at)
+            to = stop.start() if stop else n
+            text(at, to)
+            at = to
     close(0)
     end()
     return out
@@ -146,16 +253,6 @@ def leaf_blocks(page: str) -> list[Block]:
 # -- features and the chain -------------------------------------------------------------------------------------------
 
 
-@lru_cache(100_000)
-def path_features(path: tuple) -> tuple[str, ...]:
-    out = {f"own={path[-1][0]}" if path else "own="}
-    for tag, names in path:
-        if tag not in ("html", "body"):
-            out.add(f"in={tag}")
-        out.update(f"class={w}" for w in _WORDS.findall(names))
-    return tuple(sorted(out))
-
-
 def text_features(b: Block) -> list[str]:
     t = b.text
     n, words = len(t), t.count(" ") + 1
@@ -172,14 +269,13 @@ class Chain:
 
     def __init__(self, weights: dict[str, float], step: np.ndarray):
         self.weights, self.step = weights, step
-        self.of_path = lru_cache(100_000)(lambda path: sum(weights.get(f, 0.0) for f in path_features(path)))
 
     def main(self, blocks: list[Block]) -> list[bool]:
-        """Viterbi."""
+        """Viterbi, over blocks that were cut with this chain's weights."""
         if not blocks:
             return []
         get, (s00, s01), (s10, s11) = self.weights.get, *self.step.tolist()[:1], *self.step.tolist()[1:]
-        u = [self.of_path(b.path) + sum(get(f, 0.0) for f in text_features(b)) + get("bias", 0.0) for b in blocks]
+        u = [b.score + sum(get(f, 0.0) for f in text_features(b)) + get("bias", 0.0) for b in blocks]
         a, c, back = 0.0, u[0], []
         for x in u[1:]:
             from_a, from_c = a + s00 >= c + s10, a + s01 > c + s11
@@ -196,7 +292,7 @@ def trained(pages: list[list[Block]], rounds: int = 12, rate: float = 0.3, decay
     names: dict[str, int] = {}
     data = []
     for blocks in pages:
-        rows = [[names.setdefault(f, len(names)) for f in ["bias", *path_features(b.path), *text_features(b)]] for b in blocks]
+        rows = [[names.setdefault(f, len(names)) for f in ["bias", *sorted(b.features), *text_features(b)]] for b in blocks]
         data.append((rows, np.array([b.mark == "1" for b in blocks], np.int64)))
     w, step = np.zeros(len(names)), np.zeros((2, 2))
     gw, gs = np.full(len(names), 1e-3), np.full((2, 2), 1e-3)
@@ -281,7 +377,7 @@ def model() -> Chain:
 
 
 def main_text(page: str | None, chain: Chain) -> str:
-    blocks = leaf_blocks(page or "")
+    blocks = leaf_blocks(page or "", chain.weights)
     return "\n\n".join(b.text for b, y in zip(blocks, chain.main(blocks), strict=True) if y)
 
 

@@ -134,7 +134,7 @@ def test_pages(spark):
     wrong = total = 0
     for page in html.training_pages(60, seed=77):
         own = html.leaf_blocks(page)
-        y = chain.main(own)
+        y = chain.main(html.leaf_blocks(page, chain.weights))
         wrong += sum((b.mark == "1") != z for b, z in zip(own, y, strict=True))
         total += len(own)
     assert wrong < 0.02 * total
@@ -149,8 +149,8 @@ def test_pages(spark):
 
 def test_viterbi_is_best_of_all_paths():
     rng = np.random.default_rng(0)
-    chain = html.Chain({"own=p": 0.3, "links=0": -0.2, "stop": 0.9, "words=1": -0.7}, rng.normal(size=(2, 2)))
-    own = [html.Block((("p", ""),), t, 0, None) for t in ("a.", "b c", "d e f.", "g", "h.")]
+    chain = html.Chain({"links=0": -0.2, "stop": 0.9, "words=1": -0.7}, rng.normal(size=(2, 2)))
+    own = [html.Block(t, 0, 0.3) for t in ("a.", "b c", "d e f.", "g", "h.")]
     u = [0.3 - 0.2 + 0.9 * b.text.endswith(".") - 0.7 * (" " not in b.text) for b in own]
     score = lambda y: sum(a for a, z in zip(u, y, strict=True) if z) + sum(chain.step[a, b] for a, b in zip(y, y[1:], strict=False))
     every = [[k >> i & 1 for i in range(5)] for k in range(32)]
