@@ -22,13 +22,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, cut_at, load, stored
+from .common import WORD, cut_at, load, spread, stored
 
 CAP = 3.0
 #: The per-source columns that with_copies() needs.
 SOURCE_COLUMNS = ("source", "source_size", "target", "mean", "lam", "cut")
-#: Equal rows that a task writes out at a time.
-CHUNK = 4096
 GOLDEN = (math.sqrt(5) - 1) / 2
 
 
@@ -41,15 +39,6 @@ def sized(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "source", size_of(F.col("text")).alias("size")).groupBy("doc_id", "source", "size").agg(F.count("*").alias("n"))
 
 
-def spread(groups: DataFrame, n: str, place: str) -> DataFrame:
-    """Each row of groups n times, with its place from 0. Large groups are dealt in chunks to all tasks first."""
-    few = groups.where(F.col(n) <= CHUNK).withColumn("_lo", F.lit(0).cast("long"))
-    many = groups.where(F.col(n) > CHUNK).withColumn("_lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1, F.lit(CHUNK).cast("long"))))
-    many = many.repartition(F.xxhash64("_lo", *[c for c, kind in groups.dtypes if kind in ("bigint", "string", "double", "int")]))
-    out = few.where(F.col(n) > 0).union(many)
-    return out.withColumn(place, F.explode(F.sequence(F.col("_lo"), F.least(F.col("_lo") + CHUNK, F.col(n)) - 1))).drop("_lo", n)
-
-
 def ranked(per: DataFrame) -> DataFrame:
     """per with _rank, its place by source, null last: sorted over all tasks, then numbered within each."""
     per = stored(per.orderBy(F.asc_nulls_last("source")).withColumn("_part", F.spark_partition_id()))
