@@ -1,19 +1,23 @@
 """Quality classifier by importance resampling.
 
-Two generative models over n-grams (known by their whole 64-bit hash), of the target text (labelled good and not toxic) and of the raw text (all
-documents), give a document the log weight sum n_g * log(p_target(g) / p_raw(g)). The target's counts are shrunk towards
-the raw model, and n-grams whose ratio is within a factor of three or a chance deviation say nothing, nor do those that the
-labelled bad rows do not confirm: text that is frequent only because it is copied often is not bad for that. So neither
-length nor rare words nor copies decide. The k documents of the largest weight plus Gumbel noise are kept: Gumbel top-k, a sample
-without replacement by weight to the power 1 / NOISE = 20: with the noise of a sample by weight itself, one n-gram that
-counts (a log ratio of 1.1 at least) would seldom decide, so the draw is close to a cut at the parting weight. The model holds every n-gram that passes these tests, so it grows with what the labelled rows
-tell; n-grams of which the labelled rows alone say nothing are not counted over all documents. k is the number of documents over the weight that parts labelled good and bad rows best (a lost good row weighs more than a kept bad one).
-
-Each n-gram counts once a text. N-grams are words and word pairs (ASCII lower case, letters and digits) and shapes of white-space words and shape pairs.
-
-Defined cases: a null or empty text weighs 0; repeated rows get the same weight and noise; rows of labels that disagree
-count as bad, as do toxic ones whatever their quality; without labels of both kinds all documents are kept; an empty table gives no rows; other columns stay as they
-are in selected(), and play no part in weighed().
+Two generative models over n-grams (known by their whole 64-bit hash), of the target text (labelled good and not toxic) and of
+the raw text (all documents), give a document the log weight sum of log(p_target(g) / p_raw(g)) over its n-grams. Documents
+are drawn without replacement by these weights: each gets its log weight plus standard Gumbel noise, and the k largest are
+kept, the whole law of Gumbel top-k, with no other cut. k is a share of the documents: the one that is given, or the share
+that rejection sampling by the same weights is expected to accept, the mean of min(1, weight).
+
+An n-gram says nothing where its ratio is within a factor of eight or a chance deviation, nor where the labelled bad rows do
+not confirm it: text that is frequent in the raw text only because it is copied often is not bad for that. So neither length
+nor rare words nor copies decide. The model holds every n-gram that passes these tests, so it grows with what the labelled
+rows tell; n-grams of which the labelled rows alone say nothing are not counted over all documents.
+
+Each n-gram counts once a text. N-grams are words and word pairs (ASCII lower case, letters and digits) and shapes of
+white-space words and shape pairs.
+
+Defined cases: a null or empty text weighs 0; the noise is a hash of doc_id and text, so that rows that share an id or have
+none are drawn each for itself and exact copies of one row together; rows of labels that disagree count as bad, as do toxic
+ones whatever their quality; without labels of both kinds all documents are kept; an empty table gives no rows; doc_id may
+be of any type; other columns stay as they are in selected(), whatever their names, and play no part in weighed().
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Chunk, chunks, cut_at, load, mixed, prefix, span, stored, words_of
 
@@ -31,12 +36,11 @@ from .common import Chunk, chunks, cut_at, load, mixed, prefix, span, stored, wo
 WORDS, SHAPES = (np.uint64(1), np.uint64(2)), (np.uint64(3), np.uint64(4))
 #: Labelled rows that the target model is fitted on at most, those of the least hashed id.
 LABEL_LIMIT = 100_000
-SHRINK = 4.0
-LEAST_RATIO = 3.0
-LEAST_DEVIATION = 3.0
-#: How much more a lost good row weighs than a kept bad one, where labels part the weights.
-GOOD_WEIGHT = 4.0
-NOISE = 0.05
+#: Added to both counts of a ratio.
+PRIOR = 0.5
+#: An n-gram counts if its ratio, either way, and its deviation in standard errors are at least these.
+LEAST_RATIO = 8.0
+LEAST_DEVIATION = 5.0
 
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[65:91] += 32
@@ -105,12 +109,19 @@ class Table:
         return np.searchsorted(self.grams, gram), doc
 
 
-def labelled(labels: DataFrame, limit: int = LABEL_LIMIT) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted ids and whether each is good, of at most limit labelled documents."""
+def key_of(doc_id: Column, kind: T.DataType) -> Column:
+    """A 64-bit number for ids of any type: integers stand for themselves."""
+    return doc_id.cast("long") if isinstance(kind, T.IntegralType) else F.xxhash64(doc_id)
+
+
+def labelled(labels: DataFrame, limit: int = LABEL_LIMIT, kind: T.DataType | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted ids and whether each is good, of at most limit labelled documents. kind: the type of the documents' ids."""
+    kind = kind or labels.schema["doc_id"].dataType
     good = (F.coalesce("quality", F.lit(0)) == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
-    rows = labels.where("doc_id is not null and (quality is not null or toxic = 1)").groupBy("doc_id").agg(F.min(good.cast("int")).alias("good"))
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).toPandas().sort_values("doc_id")
-    return rows["doc_id"].to_numpy(np.int64), rows["good"].to_numpy(np.int8)
+    own = labels.where("doc_id is not null and (quality is not null or toxic = 1)").select(F.col("doc_id").try_cast(kind).alias("_id"), good.cast("int").alias("_good"))
+    rows = own.where("_id is not null").groupBy(key_of(F.col("_id"), kind).alias("id")).agg(F.min("_good").alias("good"))
+    rows = rows.orderBy(F.xxhash64("id"), "id").limit(limit).toPandas().sort_values("id")
+    return rows["id"].to_numpy(np.int64), rows["good"].to_numpy(np.int8)
 
 
 def look_up(ids: np.ndarray, known: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -121,27 +132,23 @@ def look_up(ids: np.ndarray, known: np.ndarray, values: np.ndarray) -> np.ndarra
     return np.where(known[at] == ids, values[at], np.int8(-1))
 
 
-def _ids(column: pa.Array) -> np.ndarray:
-    return column.cast(pa.int64()).fill_null(np.iinfo(np.int64).min).to_numpy()
-
-
 def over(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
-    """Log ratio, shrunk; none where it may be chance or is small."""
-    ratio = np.log((seen + SHRINK) / (expected + SHRINK))
-    ratio[(np.abs(seen - expected) < LEAST_DEVIATION * np.sqrt(expected + 1)) | (np.abs(ratio) < np.log(LEAST_RATIO))] = 0
-    return ratio
+    """Log ratio; none where it may be chance or is small."""
+    ratio = np.log((seen + PRIOR) / (expected + PRIOR))
+    return np.where((np.abs(seen - expected) < LEAST_DEVIATION * np.sqrt(expected + 1)) | (np.abs(ratio) < np.log(LEAST_RATIO)), 0.0, ratio)
 
 
 def ratios(documents: DataFrame, labels: DataFrame, limit: int = LABEL_LIMIT) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
     """The n-grams that count, sorted, with log(p_target / p_raw) of each, from counts over all documents; and the labelled ids."""
     sc = documents.sparkSession.sparkContext
-    known = labelled(labels, limit)
+    kind = documents.schema["doc_id"].dataType
+    known = labelled(labels, limit, kind)
     told = sc.broadcast(known)
-    texts = documents.select("doc_id", F.col("text").cast("binary"))
+    texts = documents.select(key_of(F.col("doc_id"), kind).alias("id"), F.col("text").cast("binary"))
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            label = look_up(_ids(batch.column(0)), *told.value)
+            label = look_up(batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(), *told.value)
             own = label >= 0
             batch, label = batch.filter(pa.array(own)), label[own]
             for c in chunks(batch.column(1)):
@@ -158,7 +165,7 @@ def ratios(documents: DataFrame, labels: DataFrame, limit: int = LABEL_LIMIT) ->
         return none, known
     # what over() may take of labelled good against bad: the others have no weight, whatever their count over all documents
     expected = F.col("good") * (n_bad / n_good)
-    apart = (F.abs(F.col("bad") - expected) >= (LEAST_DEVIATION - 1e-6) * F.sqrt(expected + 1)) & (F.abs(F.log((F.col("bad") + SHRINK) / (expected + SHRINK))) >= np.log(LEAST_RATIO) - 1e-6)
+    apart = (F.abs(F.col("bad") - expected) >= (LEAST_DEVIATION - 1e-6) * F.sqrt(expected + 1)) & (F.abs(F.log((F.col("bad") + PRIOR) / (expected + PRIOR))) >= np.log(LEAST_RATIO) - 1e-6)
     rows = seen.where(apart).toArrow()
     grams, target, bad = (rows.column(k).to_numpy() for k in range(3))
     order = np.argsort(grams.view(np.uint64))
@@ -185,66 +192,66 @@ def ratios(documents: DataFrame, labels: DataFrame, limit: int = LABEL_LIMIT) ->
     return (grams[ratio != 0], ratio[ratio != 0]), known
 
 
-def with_weight(documents: DataFrame, ratio: tuple[np.ndarray, np.ndarray], known: tuple[np.ndarray, np.ndarray], text: bool) -> DataFrame:
-    """documents (or doc_id alone) with _weight and _label: 1 good, 0 bad, -1 not labelled."""
-    sent = documents.sparkSession.sparkContext.broadcast((ratio, known))
-    own = documents if text else documents.select("doc_id", "text")
-    names = own.columns
-    out = [n for n in names if text or n != "text"]
-    at_id, at_text, kept = names.index("doc_id"), names.index("text"), [names.index(n) for n in out]
+def noise(doc_id: Column, text: Column, seed: int) -> Column:
+    """Standard Gumbel noise."""
+    u = (F.shiftrightunsigned(F.xxhash64(doc_id, doc_id.isNull(), text, F.lit(seed)), 11) + 0.5) / float(1 << 53)
+    return -F.log(-F.log(u))
+
+
+def with_weight(documents: DataFrame, ratio: tuple[np.ndarray, np.ndarray], names: tuple[str, str], text: bool, seed: int = 11) -> DataFrame:
+    """documents (or doc_id alone) with two more columns: the log weight, and the log weight plus Gumbel noise."""
+    sent = documents.sparkSession.sparkContext.broadcast(ratio)
+    kept = documents.columns if text else ["doc_id"]
+    own = documents.select(*[F.col(f"`{c}`") for c in kept], noise(F.col("doc_id"), F.col("text"), seed).alias(names[1]), F.col("text").cast("binary").alias(names[0]))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (grams, ratio), told = sent.value
+        grams, ratio = sent.value
         table = Table(grams)
         for batch in batches:
+            *columns, noise, texts = batch.columns
             weight = np.zeros(batch.num_rows)
-            for c in chunks(batch.column(at_text)):
+            for c in chunks(texts):
                 at, doc = table.find(*features(c))
                 weight[c.first : c.first + c.n] = np.bincount(doc, ratio[at], c.n)
-            label = look_up(_ids(batch.column(at_id)), *told)
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in kept], pa.array(weight), pa.array(label)], [*out, "_weight", "_label"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(weight), pa.array(weight + noise.to_numpy())], [*kept, *names])
 
-    fields = own.select(*[F.col(f"`{n}`") for n in out]).schema
-    return own.mapInArrow(score, fields.add("_weight", "double").add("_label", "byte"))
+    return own.mapInArrow(score, own.select(*[F.col(f"`{n}`") for n in kept]).schema.add(names[0], "double").add(names[1], "double"))
 
 
-def parting(scores: DataFrame) -> float:
-    """The weight that parts labelled good from bad rows best, rates of loss weighed by GOOD_WEIGHT; the labelled rows are bounded."""
-    rows = scores.where("_label >= 0").select("_weight", "_label").toPandas().sort_values("_weight")
-    good, w = rows["_label"].to_numpy() == 1, rows["_weight"].to_numpy()
-    if not good.any() or good.all():
+def top_cut(scores: DataFrame, names: tuple[str, str], share: float | None) -> float:
+    """The value of the perturbed log weight over which the k rows of the sample lie; -inf if all are kept."""
+    weight, z = F.col(names[0]), F.col(names[1])
+    n, least, most, accepted = scores.agg(F.count("*"), F.min(z), F.max(z), F.sum(F.least(F.exp(F.least(weight, F.lit(0.0))), F.lit(1.0)))).first()
+    k = round(n * share) if share is not None else round(accepted or 0)
+    if k >= n or least == most:
         return -np.inf
-    below = np.concatenate([[0], np.cumsum(good)]) / good.sum()
-    right = np.concatenate([[0], np.cumsum(~good)]) / (~good).sum() - GOOD_WEIGHT * below
-    edge = np.concatenate([[True], w[1:] > w[:-1], [True]])
-    k = int(np.argmax(np.where(edge, right, -np.inf)))
-    return -np.inf if k == 0 else w[-1] + 1 if k == len(w) else (w[k - 1] + w[k]) / 2
+    span = (most - least) * (1 + 1e-9)
+    cut = cut_at(scores.select(((F.lit(most) - z) / span).alias("_key")), "_key", None, k)
+    return most - cut * span
 
 
-def gumbel_key(mid: float, seed: int = 11) -> Column:
-    """In [0, 1), falling with weight plus noise."""
-    u = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) + 0.5) / float(1 << 53)
-    z = F.col("_weight") - mid - NOISE * F.log(-F.log(u))
-    return F.least(1 / (1 + F.exp(F.greatest(F.least(z, F.lit(500.0)), F.lit(-500.0)))), F.lit(1 - 1e-12))
+def free_names(documents: DataFrame) -> tuple[str, str]:
+    """Two column names that documents does not have, whatever their case."""
+    taken, k = {c.lower() for c in documents.columns}, 0
+    while {f"_weight{k}", f"_drawn{k}"} & taken:
+        k += 1
+    return f"_weight{k}", f"_drawn{k}"
 
 
-def weighed(documents: DataFrame, labels: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray], DataFrame, float, float]:
-    """The model, its labels, doc_id with _weight and _label, the parting weight and the cut of gumbel_key."""
-    ratio, known = ratios(documents, labels)
-    scores = stored(with_weight(documents, ratio, known, False))
-    mid = parting(scores)
-    if mid == -np.inf:
-        return ratio, known, scores, 0.0, 2.0
-    k = scores.where(F.col("_weight") >= mid).count()
-    return ratio, known, scores, mid, cut_at(scores.withColumn("_k", gumbel_key(mid)), "_k", None, k, rounds=4)
+def weighed(documents: DataFrame, labels: DataFrame, text: bool = False, share: float | None = None, seed: int = 11) -> tuple[DataFrame, tuple[str, str], float]:
+    """doc_id (or all columns) with the log weight and the perturbed one, their names, and the cut of the latter. Stored once."""
+    ratio, _ = ratios(documents, labels)
+    names = free_names(documents)
+    scores = stored(with_weight(documents, ratio, names, text, seed))
+    return scores, names, top_cut(scores, names, share) if len(ratio[0]) else -np.inf
 
 
-def selected(documents: DataFrame, labels: DataFrame) -> DataFrame:
+def selected(documents: DataFrame, labels: DataFrame, share: float | None = None, seed: int = 11) -> DataFrame:
     """The documents that are kept."""
-    ratio, known, _, mid, cut = weighed(documents, labels)
-    return with_weight(documents, ratio, known, True).where(gumbel_key(mid) < cut).select(*[F.col(f"`{c}`") for c in documents.columns])
+    scores, (_, drawn), cut = weighed(documents, labels, True, share, seed)
+    return scores.where(F.col(drawn) > cut).select(*[F.col(f"`{c}`") for c in documents.columns])
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, scores, mid, cut = weighed(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
-    return scores.select("doc_id", F.col("_weight").alias("log_weight"), (gumbel_key(mid) < cut).alias("kept"))
+    scores, (weight, drawn), cut = weighed(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+    return scores.select("doc_id", F.col(weight).alias("log_weight"), F.col(drawn).alias("perturbed"), (F.col(drawn) > cut).alias("kept"))
