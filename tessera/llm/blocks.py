@@ -1,17 +1,21 @@
 """Substring dedup of words with fixed-block anchors.
 
-Among runs that share a gram (see repeats), each run's non-overlapping blocks of half a window are indexed and every rolling
-window of that length probes the index. A repeat of a whole window holds a whole block of the other side, so its windows
-hold a hit; hits are extended to the maximal exact repeats of a window or more, whose words are verified on their bytes.
+Among runs that share a gram (see repeats), each run's non-overlapping blocks of half a window are indexed, and every rolling
+window of that length probes the index. A repeat of a whole window holds a whole block of the other side, so no repeat is
+missed. Each hit is extended to both sides, word by word by binary search over prefix hashes, to the maximal exact repeat; one
+of a window or more, verified on its bytes, covers its words on both sides. All candidates go this way, copies of whole texts
+too: without the index nothing is removed.
+
+A block that stands in very many places would be extended from each of them to each; the windows around its hits are instead
+grouped by the hash of all their words, and neighbours verified on their bytes, which marks the same windows.
 
 Defined cases: a null or empty text has no words; windows never cross documents; repeated rows are copies of each other;
-an empty table gives no rows; other columns play no part.
+doc_id may be of any type, null or repeated; a very long text is read a stretch at a time; an empty table gives no rows; other
+columns play no part.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,62 +24,90 @@ from .common import Chunk, load, mixed, prefix, span, word_hashes, words_of
 
 LENGTH = 35
 GRAM = 8
+#: Places of a block that hits are extended to one by one.
+PLACES = 32
+
+
+def agreeing(p: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray, back: bool = False) -> np.ndarray:
+    """How many words from places a and b on (or before them) agree, at most so many, by binary search."""
+    low, high = np.zeros(len(a), np.int64), most + 1  # low agree, high do not
+    for _ in range(int(most.max(initial=0) + 1).bit_length()):
+        mid = (low + high) >> 1
+        same = span(p, a - mid, a) == span(p, b - mid, b) if back else span(p, a, a + mid) == span(p, b, b + mid)
+        live = high - low > 1
+        low, high = np.where(live & same, mid, low), np.where(live & ~same, mid, high)
+    return low
 
 
 def resolve(r: repeats.Runs) -> np.ndarray:
     c = Chunk(r.buf, r.offs, 0)
     starts, ends, heads = words_of(c)
     p = prefix(word_hashes(c, starts, ends))
-    size = np.diff(heads)
+    head, size = heads[r.of], np.diff(heads)[r.of]
     block = (r.w + 1) // 2
     own = r.group.view(np.uint64)
-    # the index: block k of a run, at its words k * block
-    count = size // block
-    of = np.repeat(np.arange(len(count)), count)
-    at = heads[of] + block * (np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count))
-    keys = mixed(span(p, at, at + block) + mixed(own[of]))
-    order = np.lexsort((of, keys))
-    keys, of = keys[order], of[order]
-    new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    last = np.concatenate([new[1:], [len(keys)]]) - 1
-    index, least, most = keys[new], of[new], of[last]
-    # probes: every rolling window; a hit is a block of another run, or of two
-    many = np.maximum(size - block + 1, 0)
-    run = np.repeat(np.arange(len(many)), many)
-    at = heads[run] + np.arange(len(run)) - np.repeat(np.cumsum(many) - many, many)
-    probe = mixed(span(p, at, at + block) + mixed(own[run]))
-    k = np.minimum(np.searchsorted(index, probe), len(index) - 1)
-    hit = (index[k] == probe) & ((least[k] != run) | (most[k] != run))
-    hits = np.zeros(len(starts) + 1, np.int64)
-    hits[at[hit] + 1] = 1
-    hits = np.cumsum(hits)
-    # extension: windows that hold a hit, drawn together by all their words
-    run, place = r.windows()
-    w = heads[run] + place
-    out = np.zeros(len(run), bool)
-    live = np.flatnonzero(hits[w + r.w - block + 1] > hits[w])
-    if not len(live):
-        return out
-    w = w[live]
-    whole = mixed(span(p, w, w + r.w) + r.meeting(run[live], place[live]))
-    order = np.argsort(whole, kind="stable")
-    near = np.flatnonzero(whole[order][1:] == whole[order][:-1])
-    a, b = order[near], order[near + 1]
-    n, m = (ends[w[x] + r.w - 1] - starts[w[x]] for x in (a, b))
-    fine = n == m
-    a, b, n = a[fine], b[fine], n[fine]
-    fine = repeats.equal_bytes(r.buf, starts[w[a]], starts[w[b]], n)
-    out[live[a[fine]]] = out[live[b[fine]]] = True
-    return out
-
 
-def finish(text: bytes, a: np.ndarray, b: np.ndarray) -> tuple[int, int, str]:
-    words, kept, at = text.split(), [], 0
-    for lo, hi in zip(a.tolist(), b.tolist(), strict=True):
-        kept += words[at:lo]
-        at = hi
-    kept += words[at:]
-    return len(words), int((b - a).sum()), hashlib.sha256(b" ".join(kept)).hexdigest()
+    def spots(count: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Run, place and key of count blocks of each run, step words apart, sorted by key."""
+        run = np.repeat(np.arange(len(count)), count)
+        at = head[run] + step * (np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count))
+        key = mixed(span(p, at, at + block) + mixed(own[run]))
+        order = np.argsort(key, kind="stable")
+        return run[order], at[order], key[order]
+
+    # the index of non-overlapping blocks, and the probes: every rolling window
+    run_b, at_b, key_b = spots(size // block, block)
+    run_a, at_a, key_a = spots(np.maximum(size - block + 1, 0), 1)
+    left, right = np.searchsorted(key_b, key_a, "left"), np.searchsorted(key_b, key_a, "right")
+    places = right - left
+    few = (places > 0) & (places <= PLACES)
+    first = np.concatenate([[0], np.cumsum(r.n)])
+    mark = np.zeros(int(first[-1]) + 1, np.int64)  # where marked windows begin and end
+
+    # extension of each hit to the maximal repeat
+    hit = np.repeat(np.flatnonzero(few), places[few])
+    ref = np.repeat(left[few], places[few]) + np.arange(len(hit)) - np.repeat(np.cumsum(places[few]) - places[few], places[few])
+    x, a, y, b = run_a[hit], at_a[hit], run_b[ref], at_b[ref]
+    other = (x != y) | (a != b)
+    x, a, y, b = x[other], a[other], y[other], b[other]
+    before = agreeing(p, a, b, np.minimum(a - head[x], b - head[y]), back=True)
+    after = agreeing(p, a, b, np.minimum(head[x] + size[x] - a, head[y] + size[y] - b))
+    long = before + after >= r.w
+    x, a, y, b, n = x[long], (a - before)[long], y[long], (b - before)[long], (before + after)[long]
+    # the hits of one repeat, once
+    once = np.unique(np.stack([x, a, y, b]), axis=1, return_index=True)[1] if len(x) else np.zeros(0, np.int64)
+    x, a, y, b, n = x[once], a[once], y[once], b[once], n[once]
+    if len(x):
+        bytes_a, bytes_b = (ends[z + n - 1] - starts[z] for z in (a, b))
+        fine = bytes_a == bytes_b
+        x, a, y, b, n, bytes_a = x[fine], a[fine], y[fine], b[fine], n[fine], bytes_a[fine]
+        fine = repeats.equal_bytes(r.buf, starts[a], starts[b], bytes_a)
+        for z, at in ((x, a), (y, b)):
+            lo = first[z[fine]] + at[fine] - head[z[fine]]
+            np.add.at(mark, lo, 1)
+            np.add.at(mark, lo + n[fine] - r.w + 1, -1)
+    out = np.cumsum(mark[:-1]) > 0
+
+    # blocks that stand in very many places
+    many = places > PLACES
+    if many.any():
+        hits = np.zeros(len(mark) + len(r.n) * r.w + 1, np.int64)
+        base = np.concatenate([[0], np.cumsum(size)])
+        hits[base[run_a[many]] + at_a[many] - head[run_a[many]] + 1] = 1
+        hits = np.cumsum(hits)
+        run, place = r.windows()
+        live = np.flatnonzero(hits[base[run] + place + r.w - block + 1] > hits[base[run] + place])
+        run, place = run[live], place[live]
+        w = head[run] + place
+        whole = mixed(span(p, w, w + r.w) + r.meeting(run, place))
+        order = np.argsort(whole, kind="stable")
+        near = np.flatnonzero(whole[order][1:] == whole[order][:-1])
+        i, j = order[near], order[near + 1]
+        n, m = (ends[w[k] + r.w - 1] - starts[w[k]] for k in (i, j))
+        i, j, n = i[n == m], j[n == m], n[n == m]
+        fine = repeats.equal_bytes(r.buf, starts[w[i]], starts[w[j]], n)
+        out[live[i[fine]]] = out[live[j[fine]]] = True
+    return out
 
 
 def kind(length: int = LENGTH, gram: int = GRAM) -> repeats.Kind:
@@ -83,9 +115,9 @@ def kind(length: int = LENGTH, gram: int = GRAM) -> repeats.Kind:
 
 
 def deduplicated(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, limit: int = repeats.GROUP_LIMIT) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256."""
-    cover = repeats.repeated(documents, kind(length, gram), limit)
-    return repeats.removed(documents, cover, finish, [("n_words", "long"), ("n_removed", "long"), ("kept_sha256", "string")])
+    """doc_id, n_words, n_removed, n_spans, kept_sha256."""
+    own = kind(length, gram)
+    return repeats.removed(documents, repeats.repeated(documents, own, limit), own).withColumnRenamed("n_items", "n_words")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,18 @@
 """Repeated substrings over a whole corpus: what the suffix-array and the fixed-block operator share.
 
 A window of w items (bytes or words) is repeated if the same items also start anywhere else. Windows meet where they must:
-each selects, of its grams, the one of the least hash, and equal windows select equal grams, so that a document sends on one
-row for each run of windows with the same gram (a run is about w / 2 long), not one a window. Runs whose gram is nowhere else
-hold no repeat. Runs with equal gram and equal text are repeated as a whole, and one of them stands for all. Only runs that
-share a gram but not their text are compared item by item, by the operator's own method, with their text fetched once for
-each distinct run. A gram with very many distinct runs is not gathered: its windows are dealt by their own hash instead.
-
-A document is known by doc_id and a wide digest of its text, so that repeated rows, and rows that share an id, are all judged,
-and no two texts are taken for one however many rows have one id or none.
+each selects, of its grams, the one of the least hash, and equal windows select equal grams, so that a text sends on one row
+for each run of windows with the same gram (a run is about w / 2 long), not one a window. Runs whose gram is nowhere else
+hold no repeat. This only routes; what is repeated is decided by the operator's own method over the runs of one gram, on
+their items, and nothing is removed that it did not find.
+
+Copies do not make that work grow. Documents of one text (by 128 bits of its SHA-256) are one text with a number of copies;
+the method sees a text with copies twice. Runs with equal gram and equal items (by two 64-bit hashes) are a class; the method
+sees the first and the last of it. What it finds for those holds for the others once a digest of their own bytes, taken from
+each document as it is rewritten, is that of the bytes that were compared; where it is not, nothing is removed.
+
+A gram with very many classes is not gathered: its classes of several runs are compared each by itself, and the windows of all
+its classes are dealt by their own hash and compared, as runs of one window, by the same method.
 """
 
 from __future__ import annotations
@@ -19,15 +23,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Chunk, chunks, mixed, prefix, span, stored, word_hashes, words_of
 
-#: Distinct runs of one gram that a task compares; those of a gram with more are dealt by window.
+#: Classes of one gram that a task compares at once; those of a gram with more are dealt by window.
 GROUP_LIMIT = 2048
 #: Bytes of run texts that a task compares at a time, beyond the last whole group.
 TASK_BYTES = 2 << 20
+#: Items or bytes of a long text that are looked at at a time.
+STRETCH = 1 << 20
+DIGEST = 16
 
 
 @dataclass(frozen=True)
@@ -42,10 +49,11 @@ class Kind:
 
 @dataclass
 class Runs:
-    """Runs of whole groups: text of run k is buf[offs[k]:offs[k + 1]], with n[k] windows, gram at item off[k] of it."""
+    """Runs of whole groups: text of run k is buf[offs[of[k]]:offs[of[k] + 1]], with n[k] windows, gram at item off[k] of it."""
 
     buf: np.ndarray
     offs: np.ndarray
+    of: np.ndarray
     group: np.ndarray
     n: np.ndarray
     off: np.ndarray
@@ -95,115 +103,264 @@ def runs_of(values: np.ndarray, heads: np.ndarray, w: int, g: int) -> dict[str,
     return {"h": grams[a].view(np.int64), "ctx": ctx.view(np.int64), "doc": doc, "lo": lo - heads[doc], "n": last - lo + 1, "off": a - lo}
 
 
-def joined_words(c: Chunk, k: int) -> list[bytes]:
-    return c.text(k).split()
+def runs_within(values: np.ndarray, w: int, g: int) -> Iterator[dict[str, np.ndarray]]:
+    """runs_of one text, a stretch of its windows at a time."""
+    for lo in range(0, max(1, len(values) - w + 1), STRETCH):
+        own = values[lo : lo + STRETCH + w - 1]
+        r = runs_of(own, np.array([0, len(own)]), w, g)
+        r["lo"] = r["lo"] + lo
+        yield r
+
+
+def stretches(buf: np.ndarray, size: int = STRETCH) -> Iterator[tuple[int, int]]:
+    """Of a text, each ending before a white space, so that no word is cut."""
+    lo, n = 0, len(buf)
+    while lo < n:
+        hi, step = lo + size, 4096
+        while hi < n:
+            near = buf[hi : hi + step]
+            white = np.flatnonzero((near == 32) | ((near >= 9) & (near <= 13)))
+            if len(white):
+                hi += int(white[0])
+                break
+            hi, step = hi + step, step * 2
+        hi = min(hi, n)
+        yield lo, hi
+        lo = hi
+
+
+def word_spans(buf: np.ndarray, hashes: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each word of a text, and its hash if asked for."""
+    parts = []
+    for lo, hi in stretches(buf):
+        c = Chunk(buf[lo:hi], np.array([0, hi - lo]), 0)
+        a, b, _ = words_of(c)
+        parts.append((a + lo, b + lo, word_hashes(c, a, b) if hashes else a[:0]))
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+class Text:
+    """One text: its number of items, and the bytes of items [a, b), words joined by one space."""
+
+    def __init__(self, buf: np.ndarray, words: bool):
+        self.buf, self.words = buf, words
+        if words:
+            self.starts, self.ends, _ = word_spans(buf)
+        self.n = len(self.starts) if words else len(buf)
 
+    def items(self, a: int, b: int) -> bytes:
+        if not self.words:
+            return self.buf[a:b].tobytes()
+        return b" ".join(self.buf[self.starts[a] : self.ends[b - 1]].tobytes().split()) if b > a else b""
 
-def _chunk_items(kind: Kind, c: Chunk) -> tuple[np.ndarray, np.ndarray]:
-    if not kind.words:
-        return c.buf, c.offs
-    starts, ends, heads = words_of(c)
-    return word_hashes(c, starts, ends), heads
+    def kept(self, a: np.ndarray, b: np.ndarray) -> str:
+        """SHA-256 of the items outside the intervals, words joined by one space."""
+        out, first = hashlib.sha256(), True
+        for lo, hi in zip([0, *b.tolist()], [*a.tolist(), self.n], strict=True):
+            for x in range(lo, hi, STRETCH):
+                out.update((b"" if first or not self.words else b" ") + self.items(x, min(hi, x + STRETCH)))
+                first = False
+        return out.hexdigest()
 
 
 def merged(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Unions of overlapping or touching intervals [a, b)."""
+    if not len(a):
+        return a, b
     order = np.argsort(a, kind="stable")
     a, b = a[order], np.maximum.accumulate(b[order])
     first = np.concatenate([[True], a[1:] > b[:-1]])
     return a[first], b[np.concatenate([np.flatnonzero(first)[1:] - 1, [len(a) - 1]])]
 
 
-def same_document(a: str, b: str) -> Column:
-    return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.t") == F.col(f"{b}.t"))
+def texts_of(documents: DataFrame) -> DataFrame:
+    """doc_id, t (128 bits of the text's digest), text (binary, null is empty)."""
+    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    return documents.select("doc_id", F.unhex(F.substring(F.sha2(text, 256), 1, 32)).alias("t"), text.alias("text"))
 
 
-def repeated(documents: DataFrame, kind: Kind, limit: int = GROUP_LIMIT) -> DataFrame:
-    """doc_id, t, a, b: items [a, b) of a document are covered by repeated windows; the rows of a document may overlap."""
-    key = documents.schema["doc_id"].dataType.simpleString()
-    texts = texts_of(documents)
-    w, names = kind.w, ["h", "ctx", "doc_id", "t", "lo", "n", "off"]
+def distinct_texts(documents: DataFrame, least: int) -> DataFrame:
+    """t, m (documents that have the text), text, of the texts of least bytes or more."""
+    texts = texts_of(documents).where(F.length("text") >= least).select("t", "text")
+    again = stored(texts.groupBy("t").agg(F.count("*").alias("m")).where("m > 1"))
+    single = texts.join(again, "t", "left_anti").select("t", F.lit(1).cast("long").alias("m"), "text")
+    # drawn together within each task before they are dealt, so that a text with very many copies is no large group
+    several = texts.join(again.select("t"), "t", "left_semi").groupBy("t").agg(F.first("text").alias("text"))
+    return stored(single.union(several.join(again, "t").select("t", "m", "text")))
+
+
+RUN = "h long, ctx long, t binary, m long, lo int, n int, off int"
+
+
+def run_rows(texts: DataFrame, kind: Kind) -> DataFrame:
+    """h, ctx, t, m, lo, n, off: the runs of texts (t, m, text)."""
+    names = ["h", "ctx", "t", "m", "lo", "n", "off"]
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in chunks(batch.column(2), 1 << 19):
-                r = runs_of(*_chunk_items(kind, c), kind.w, kind.g)
-                if len(r["h"]):
-                    at = pa.array(r["doc"] + c.first)
-                    yield pa.RecordBatch.from_arrays([pa.array(r["h"]), pa.array(r["ctx"]), batch.column(0).take(at), batch.column(1).take(at), *[pa.array(r[k].astype(np.int32)) for k in ("lo", "n", "off")]], names)
+                if c.n == 1:
+                    values = word_spans(c.buf, True)[2] if kind.words else c.buf
+                    found = runs_within(values, kind.w, kind.g)
+                elif kind.words:
+                    starts, ends, heads = words_of(c)
+                    found = [runs_of(word_hashes(c, starts, ends), heads, kind.w, kind.g)]
+                else:
+                    found = [runs_of(c.buf, c.offs, kind.w, kind.g)]
+                for r in found:
+                    if len(r["h"]):
+                        at = pa.array(r["doc"] + c.first)
+                        yield pa.RecordBatch.from_arrays([pa.array(r["h"]), pa.array(r["ctx"]), batch.column(0).take(at), batch.column(1).take(at), *[pa.array(r[k].astype(np.int32)) for k in ("lo", "n", "off")]], names)
+
+    return texts.select("t", "m", "text").mapInArrow(select, RUN)
+
+
+def classes_of(runs: DataFrame) -> DataFrame:
+    """h, ctx, c (runs of the class, copies counted), one and two (its first and last run)."""
+    one = F.struct("t", "lo", "n", "off", "m")
+    return stored(runs.groupBy("h", "ctx").agg(F.sum("m").alias("c"), F.min(one).alias("one"), F.max(one).alias("two")))
+
+
+def shown(classes: DataFrame, group) -> DataFrame:
+    """The runs that the method sees of each class."""
+    each = F.explode(F.array_distinct(F.array("one", "two")))
+    out = classes.select(group.alias("g"), "h", "ctx", (F.col("c") == 1).alias("once"), each.alias("r"))
+    return out.select("r.t", F.struct("g", "h", "ctx", "once", "r.lo", "r.n", "r.off", (F.col("r.m") > 1).alias("twice")).alias("r"))
+
+
+def with_texts(texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """t, r, text: rows (t, r) gathered by text, at most as many as it has runs."""
+    lists = rows.groupBy("t").agg(F.collect_list("r").alias("r"))
+    return texts.select("t", "text").join(lists.hint("shuffle_hash"), "t").select("t", "r", "text")
+
+
+def each_run(batch: pa.RecordBatch, words: bool, rows: int = 4096) -> Iterator[tuple[int, Text, pa.StructArray]]:
+    """Row, text and some of the runs of with_texts()' rows, those of one row one after the other."""
+    lists = batch.column(1)
+    flat, counts = lists.flatten(), lists.value_lengths().to_numpy()
+    ends = np.cumsum(counts)
+    for c in chunks(batch.column(2), 1 << 22):
+        for k in range(c.n):
+            row = c.first + k
+            text = Text(c.buf[c.offs[k] : c.offs[k + 1]], words)
+            first = int(ends[row] - counts[row])
+            for lo in range(first, int(ends[row]), rows):
+                yield row, text, flat.slice(lo, min(rows, int(ends[row]) - lo))
+
 
-    runs = texts.mapInArrow(select, f"h long, ctx long, doc_id {key}, t binary, lo int, n int, off int")
-    met = runs.groupBy("h").agg(F.count("*").alias("_c"), F.min("ctx").alias("_c0"), F.max("ctx").alias("_c1")).where("_c > 1").select("h", (F.col("_c0") != F.col("_c1")).alias("many"))
+def repeated(documents: DataFrame, kind: Kind, limit: int = GROUP_LIMIT) -> DataFrame:
+    """t, a, b, lo, hi, digest: items [a, b) of the text t are covered by repeated windows; the rows of a text may overlap.
+
+    Where there is a digest, that is so if it is the one of the items [lo, hi).
+    """
+    w = kind.w
+    texts = distinct_texts(documents, 2 * w - 1 if kind.words else w)  # shorter ones hold no window
+    runs = run_rows(texts, kind)
+    met = runs.groupBy("h").agg(F.sum("m").alias("_c")).where("_c > 1").select("h")
     # stored, so that the join reads both sides from shuffles of its own and splits a frequent gram
     met = stored(runs.join(stored(met), "h"), plain=True)
-    whole = (F.col("lo").alias("a"), (F.col("lo") + F.col("n") + (w - 1)).alias("b"))
-    cover = met.where("not many").select("doc_id", "t", *whole)
-    many = met.where("many")
-    classes = stored(many.groupBy("h", "ctx").agg(F.count("*").alias("_c"), F.min(F.struct("doc_id", "t", "lo", "n", "off")).alias("one")))
-    cover = cover.union(many.join(classes.where("_c > 1").select("h", "ctx"), ["h", "ctx"]).select("doc_id", "t", *whole))
-    hot = classes.groupBy("h").agg(F.count("*").alias("_k")).where(F.col("_k") > limit).select("h", F.lit(True).alias("hot"))
-    ones = classes.join(hot, "h", "left").select("one.doc_id", "one.t", F.struct("h", "one.lo", "one.n", "one.off", (F.col("_c") == 1).alias("once"), F.coalesce("hot", F.lit(False)).alias("hot")).alias("r"))
-    # at most as many as the document has runs
-    ones = ones.groupBy("doc_id", "t").agg(F.collect_list("r").alias("r"))
-
-    fields = ["h", "doc_id", "t", "lo", "n", "off", "once", "hot", "text"]
-
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    classes = classes_of(met)
+    hot = stored(classes.groupBy("h").agg(F.count("*").alias("_k")).where(F.col("_k") > limit).select("h"))
+    members = met.join(classes.where("c > 1").select("h", "ctx"), ["h", "ctx"]).select("h", "ctx", "t", "lo", "n")
+    if not hot.limit(1).count():
+        rows = shown(classes, F.col("h"))
+    else:
+        rows = shown(classes.join(hot, "h", "left_anti"), F.col("h"))
+        dense = classes.join(hot, "h", "left_semi")
+        rows = rows.union(shown(dense.where("c > 1"), F.xxhash64("h", "ctx")))
+        dealt = stored(deal(with_texts(texts, dense.select("one.t", F.struct("one.lo", "one.n", F.least("c", F.lit(2).cast("long")).alias("m")).alias("r"))), kind), plain=True)
+        own = classes_of(dealt)
+        own = own.where("c > 1")
+        rows = rows.union(shown(own, F.xxhash64("h", "ctx", F.lit(1))))
+        members = members.union(dealt.where("m = 1").join(own.select("h", "ctx"), ["h", "ctx"]).select("h", "ctx", "t", "lo", "n"))
+    found = stored(with_texts(texts, rows).mapInArrow(_gathered(fetch(kind)), FETCHED))
+    judged = stored(found.repartition("g").sortWithinPartitions("g").mapInArrow(compare(kind), JUDGED))
+    sole = judged.where("once").select("t", "a", "b", F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(None).cast("binary").alias("digest"))
+    held = judged.where("not once").select("h", "ctx", "a", "b", "digest").distinct()
+    same = members.join(held, ["h", "ctx"]).select("t", (F.col("lo") + F.col("a")).alias("a"), (F.col("lo") + F.col("b")).alias("b"), "lo", (F.col("lo") + F.col("n") + (w - 1)).alias("hi"), "digest")
+    return sole.union(same)
+
+
+FETCHED = "g long, h long, ctx long, once boolean, t binary, lo int, n int, off int, twice boolean, text binary"
+JUDGED = "h long, ctx long, once boolean, t binary, a int, b int, digest binary"
+
+
+def fetch(kind: Kind) -> Callable:
+    """The items of each run."""
+    names = [x.split()[0] for x in FETCHED.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(3)
-            flat, counts = lists.flatten(), np.diff(lists.offsets.to_numpy())
-            lo, n = (flat.field(k).to_numpy() for k in ("lo", "n"))
-            ends = np.cumsum(counts)
-            for c in chunks(batch.column(2), 1 << 22):
-                for k in range(c.n):
-                    row = c.first + k
-                    f, e = int(ends[row] - counts[row]), int(ends[row])
-                    for f1 in range(f, e, 4096):
-                        e1 = min(e, f1 + 4096)
-                        if kind.words:
-                            items = joined_words(c, k)
-                            data = [b" ".join(items[a : a + m + w - 1]) for a, m in zip(lo[f1:e1].tolist(), n[f1:e1].tolist(), strict=True)]
-                        else:
-                            items = c.text(k)
-                            data = [items[a : a + m + w - 1] for a, m in zip(lo[f1:e1].tolist(), n[f1:e1].tolist(), strict=True)]
-                        part = flat.slice(f1, e1 - f1)
-                        same = pa.array(np.full(e1 - f1, row))
-                        yield pa.RecordBatch.from_arrays([part.field("h"), batch.column(0).take(same), batch.column(1).take(same), *[part.field(x) for x in ("lo", "n", "off", "once", "hot")], pa.array(data, pa.binary())], fields)
-
-    found = texts.alias("d").join(ones.alias("o").hint("shuffle_hash"), same_document("d", "o")).select("d.doc_id", "d.t", "d.text", "o.r")
-    found = found.mapInArrow(_gathered(fetch), f"h long, doc_id {key}, t binary, lo int, n int, off int, once boolean, hot boolean, text binary")
-    out = f"doc_id {key}, t binary, a int, b int"
-
-    def runs_in(batch: pa.RecordBatch) -> Runs:
-        c = next(chunks(batch.column(8), 1 << 62))
-        return Runs(c.buf, c.offs, *[batch.column(k).to_numpy().astype(np.int64) for k in (0, 4, 5)], w)
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Batches are sorted by h; a group is compared once it is whole."""
-        held: list[pa.RecordBatch] = []
-        size = 0
+            for row, text, part in each_run(batch, kind.words):
+                lo, n = (part.field(k).to_pylist() for k in ("lo", "n"))
+                data = [text.items(a, a + m + kind.w - 1) for a, m in zip(lo, n, strict=True)]
+                same = pa.array(np.full(len(part), row))
+                yield pa.RecordBatch.from_arrays([*[part.field(x) for x in ("g", "h", "ctx", "once")], batch.column(0).take(same), *[part.field(x) for x in ("lo", "n", "off", "twice")], pa.array(data, pa.binary())], names)
+
+    return run
 
-        def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
-            r = runs_in(batch)
-            run, at = r.windows()
-            hit = kind.resolve(r) & batch.column(6).to_numpy(zero_copy_only=False)[run]
-            run, at = run[hit], at[hit]
-            new = np.concatenate([[True], (run[1:] != run[:-1]) | (at[1:] != at[:-1] + 1)]) if len(run) else np.zeros(0, bool)
-            first = np.flatnonzero(new)
-            last = np.concatenate([first[1:] - 1, [len(run) - 1]]) if len(first) else first
-            own = pa.array(run[first])
-            lo = batch.column(3).to_numpy()[run[first]]
-            return pa.RecordBatch.from_arrays([batch.column(1).take(own), batch.column(2).take(own), pa.array((lo + at[first]).astype(np.int32)), pa.array((lo + at[last] + w).astype(np.int32))], ["doc_id", "t", "a", "b"])
 
+def deal(rows: DataFrame, kind: Kind) -> DataFrame:
+    """The windows of runs, each as a run of its own, known by two hashes."""
+    w = kind.w
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lo = 0
-            h = batch.column(0).to_numpy()
-            lengths = np.diff(next(chunks(batch.column(8), 1 << 62)).offs) if batch.num_rows else np.zeros(0, np.int64)
-            edges = np.flatnonzero(h[1:] != h[:-1]) + 1
-            for e in [*edges.tolist(), None]:
-                hi = batch.num_rows if e is None else e
+            for row, text, part in each_run(batch, kind.words, 256):
+                lo, n, m = (part.field(k).to_numpy() for k in ("lo", "n", "m"))
+                a, ends = int(lo.min()), int((lo + n).max()) + w - 1
+                # runs of one text lie close to each other as a rule; far ones are taken one by one
+                near = [np.arange(len(lo))] if ends - a <= STRETCH else [np.array([k]) for k in range(len(lo))]
+                for own in near:
+                    a, ends = int(lo[own].min()), int((lo[own] + n[own]).max()) + w - 1
+                    data = np.frombuffer(text.items(a, ends), np.uint8)
+                    p = prefix(word_spans(data, True)[2] if kind.words else data)
+                    at = np.repeat(lo[own] - a, n[own]) + np.arange(int(n[own].sum())) - np.repeat(np.cumsum(n[own]) - n[own], n[own])
+                    h = mixed(span(p, at, at + w))
+                    ctx = mixed(span(p, at, at + w // 2) + np.uint64(w))
+                    same = pa.array(np.full(len(at), row))
+                    whole = lambda x, k=len(at): pa.array(np.full(k, x, np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ctx.view(np.int64)), batch.column(0).take(same), pa.array(np.repeat(m[own], n[own])), pa.array((at + a).astype(np.int32)), whole(1), whole(0)], ["h", "ctx", "t", "m", "lo", "n", "off"])
+
+    return rows.mapInArrow(_gathered(run, 20_000), RUN)
+
+
+def compare(kind: Kind) -> Callable:
+    """What the method finds repeated in runs sorted by group; a group is compared once it is whole."""
+    w = kind.w
+
+    def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
+        c = next(chunks(batch.column(9), 1 << 62))
+        once, twice = (batch.column(k).to_numpy(zero_copy_only=False) for k in (3, 8))
+        group, n, off = (batch.column(k).to_numpy().astype(np.int64) for k in (0, 6, 7))
+        # a text with copies is seen twice
+        of = np.concatenate([np.arange(len(n)), np.flatnonzero(twice)])
+        r = Runs(c.buf, c.offs, of, group[of], n[of], off[of], w)
+        run, at = r.windows()
+        hit = kind.resolve(r) & (run < len(n))
+        run, at = run[hit], at[hit]
+        new = np.concatenate([[True], (run[1:] != run[:-1]) | (at[1:] != at[:-1] + 1)]) if len(run) else np.zeros(0, bool)
+        first = np.flatnonzero(new)
+        last = np.concatenate([first[1:] - 1, [len(run) - 1]]) if len(first) else first
+        run, a, b = run[first], at[first], at[last] + w
+        # of a class the places within its runs, with what their items must be; of a sole run its places in the text
+        digests = {k: hashlib.blake2b(c.text(k), digest_size=DIGEST).digest() for k in set(run[~once[run]].tolist())}
+        lo = np.where(once[run], batch.column(5).to_numpy()[run], 0)
+        own = pa.array(run)
+        return pa.RecordBatch.from_arrays([batch.column(1).take(own), batch.column(2).take(own), batch.column(3).take(own), batch.column(4).take(own), pa.array((lo + a).astype(np.int32)), pa.array((lo + b).astype(np.int32)), pa.array([digests.get(k) for k in run.tolist()], pa.binary())], [x.split()[0] for x in JUDGED.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            lo, g = 0, batch.column(0).to_numpy()
+            lengths = np.diff(next(chunks(batch.column(9), 1 << 62)).offs) if batch.num_rows else np.zeros(0, np.int64)
+            edges = np.flatnonzero(g[1:] != g[:-1]) + 1
+            for hi in [*edges.tolist(), batch.num_rows]:
                 new = batch.slice(lo, hi - lo)
-                if held and new.num_rows and size >= TASK_BYTES and held[-1].column(0)[-1].as_py() != int(h[lo]):
+                if held and new.num_rows and size >= TASK_BYTES and held[-1].column(0)[-1].as_py() != int(g[lo]):
                     yield judge(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
                     held, size = [], 0
                 if new.num_rows:
@@ -213,23 +370,7 @@ def repeated(documents: DataFrame, kind: Kind, limit: int = GROUP_LIMIT) -> Data
         if held:
             yield judge(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row a window, with 128 bits of its text's digest."""
-        for batch in batches:
-            for row in batch.to_pylist():
-                data = row["text"].split(b" ") if kind.words else row["text"]
-                for i in range(row["n"]):
-                    x = b" ".join(data[i : i + w]) if kind.words else data[i : i + w]
-                    yield pa.RecordBatch.from_pylist([{"k": hashlib.blake2b(x, digest_size=16).digest(), "doc_id": row["doc_id"], "t": row["t"], "a": row["lo"] + i, "b": row["lo"] + i + w}], schema)
-
-    schema = pa.schema([("k", pa.binary()), ("doc_id", pa.int64()), ("t", pa.binary()), ("a", pa.int32()), ("b", pa.int32())])
-    found = stored(found)
-    cover = cover.union(found.where("not hot").repartition("h").sortWithinPartitions("h").mapInArrow(compare, out))
-    if found.where("hot").limit(1).count():
-        dealt = stored(found.where("hot").mapInArrow(_rows(deal, schema), f"k binary, doc_id {key}, t binary, a int, b int"))
-        twice = dealt.groupBy("k").agg(F.count("*").alias("_c")).where("_c > 1").select("k")
-        cover = cover.union(dealt.join(twice, "k").select("doc_id", "t", "a", "b"))
-    return cover
+    return run
 
 
 def _gathered(f: Callable, rows: int = 5000) -> Callable:
@@ -250,37 +391,35 @@ def _gathered(f: Callable, rows: int = 5000) -> Callable:
     return run
 
 
-_rows = lambda f, schema: _gathered(f, 20_000)
-
-
-def texts_of(documents: DataFrame) -> DataFrame:
-    """doc_id, t (128 bits of the text's digest), text (binary, null is empty)."""
-    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    return documents.select("doc_id", F.unhex(F.substring(F.sha2(text, 256), 1, 32)).alias("t"), text.alias("text"))
-
-
-def removed(documents: DataFrame, cover: DataFrame, finish: Callable[[bytes, np.ndarray, np.ndarray], tuple], columns: list[tuple[str, str]]) -> DataFrame:
-    """A row a document: doc_id and what finish makes of its text and its merged intervals."""
+def removed(documents: DataFrame, cover: DataFrame, kind: Kind) -> DataFrame:
+    """A row a document: doc_id, n_items, n_removed, n_spans, kept_sha256."""
     key = documents.schema["doc_id"].dataType.simpleString()
-    lists = cover.groupBy("doc_id", "t").agg(F.collect_set(F.struct("a", "b")).alias("r"))  # at most as many as the document has runs
+    lists = cover.groupBy("t").agg(F.collect_set(F.struct("a", "b", "lo", "hi", "digest")).alias("r"))  # at most as many as the text has runs
+
+    def one(text: Text, r: pa.StructArray) -> tuple[int, int, int, str]:
+        a, b, lo, hi = (r.field(k).to_numpy().astype(np.int64) for k in ("a", "b", "lo", "hi"))
+        fine = np.ones(len(a), bool)
+        known: dict[tuple[int, int], bytes] = {}
+        for k, told in enumerate(r.field("digest").to_pylist()):
+            if told is not None:
+                place = int(lo[k]), int(hi[k])
+                if place not in known:
+                    known[place] = hashlib.blake2b(text.items(*place), digest_size=DIGEST).digest()
+                fine[k] = known[place] == told
+        a, b = merged(a[fine], b[fine])
+        return text.n, int((b - a).sum()), len(a), text.kept(a, b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(2)
-            flat = lists.flatten()
-            counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat, counts = lists.flatten(), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             ends = np.cumsum(counts)
-            a, b = (flat.field(k).to_numpy().astype(np.int64) for k in (0, 1))
-            none = np.zeros(0, np.int64)
             for c in chunks(batch.column(1), 1 << 22):
-                rows = []
-                for k in range(c.n):
-                    f, e = int(ends[c.first + k] - counts[c.first + k]), int(ends[c.first + k])
-                    rows.append(finish(c.text(k), *(merged(a[f:e], b[f:e]) if e > f else (none, none))))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.n), *[pa.array(x) for x in zip(*rows, strict=True)]], ["doc_id", *[n for n, _ in columns]])
-
-    joined = texts_of(documents).alias("d").join(lists.alias("o").hint("shuffle_hash"), same_document("d", "o"), "left").select("d.doc_id", "d.text", "o.r")
-    return joined.mapInArrow(run, f"doc_id {key}, " + ", ".join(f"{n} {k}" for n, k in columns))
+                rows = [one(Text(c.buf[c.offs[k] : c.offs[k + 1]], kind.words), flat.slice(int(ends[c.first + k] - counts[c.first + k]), int(counts[c.first + k]))) for k in range(c.n)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.n), *[pa.array(x) for x in zip(*rows, strict=True)]], ["doc_id", "n_items", "n_removed", "n_spans", "kept_sha256"])
+
+    joined = texts_of(documents).alias("d").join(lists.alias("o").hint("shuffle_hash"), F.col("d.t") == F.col("o.t"), "left").select("d.doc_id", "d.text", "o.r")
+    return joined.mapInArrow(run, f"doc_id {key}, n_items long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def equal_bytes(buf: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray, step: int = 4 << 20) -> np.ndarray:

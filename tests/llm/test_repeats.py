@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import blocks, repeats, suffixes
 
@@ -17,7 +18,8 @@ def brute(texts, w, split, join):
             if seen[tuple(x[i : i + w])] > 1:
                 gone[i : i + w] = True
         kept = join([v for v, g in zip(x, gone, strict=True) if not g])
-        out.append((len(x), int(gone.sum()), hashlib.sha256(kept).hexdigest()))
+        spans = int((gone & ~np.concatenate([[False], gone[:-1]])).sum()) if len(x) else 0
+        out.append((len(x), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
     return out
 
 
@@ -29,38 +31,90 @@ def docs(spark):
     texts = [" ".join(word() for _ in range(rng.integers(0, 200))) for _ in range(60)]
     texts += [" ".join([*[word() for _ in range(rng.integers(0, 60))], *passage[rng.integers(0, 12) : rng.integers(40, 61)], *[word() for _ in range(rng.integers(0, 60))]]) for _ in range(60)]
     texts += [texts[3], texts[3] + " end", texts[70].replace(" ", "  "), None, "", "ab " * 400, "ab " * 401 + "c", "x" * 500, texts[5][:150] + "é" + texts[5][150:]]
-    df = spark.createDataFrame([(i if i % 9 else None, t, "x") for i, t in enumerate(texts)] + [(3, texts[3], "x")], "doc_id long, text string, h string")
-    return df, [*texts, texts[3]]
+    df = spark.createDataFrame([(i if i % 9 else None, t, "x") for i, t in enumerate(texts)] + [(3, texts[3], "x")] * 3, "doc_id long, text string, h string")
+    return df, [i if i % 9 else None for i in range(len(texts))] + [3] * 3, [*texts, *[texts[3]] * 3]
 
 
-@pytest.mark.parametrize("limit", [2048, 3])
-def test_bytes_against_brute_force(docs, limit):
-    df, texts = docs
-    got = sorted((r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in suffixes.deduplicated(df, limit=limit).collect())
-    assert got == sorted(brute(texts, 200, bytes, bytes))
+OPERATORS = {"bytes": (suffixes, 200, bytes, bytes, "n_bytes"), "words": (blocks, 35, bytes.split, b" ".join, "n_words")}
+
+
+def rows_of(df, size):
+    return sorted(((r["doc_id"], r[size], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in df.collect()), key=repr)
 
 
+def wanted(ids, texts, items):
+    _, w, split, join, _ = OPERATORS[items]
+    return sorted(((i, *x) for i, x in zip(ids, brute(texts, w, split, join), strict=True)), key=repr)
+
+
+@pytest.mark.parametrize("items", OPERATORS)
+@pytest.mark.parametrize("limit", [2048, 3])
+def test_against_brute_force(docs, items, limit):
+    df, ids, texts = docs
+    assert rows_of(OPERATORS[items][0].deduplicated(df, limit=limit), OPERATORS[items][4]) == wanted(ids, texts, items)
+
+
+@pytest.mark.parametrize("items", OPERATORS)
+def test_long_texts_are_read_in_stretches(docs, items, monkeypatch):
+    """The workers import the module anew, so its parts are called here."""
+    monkeypatch.setattr(repeats, "STRETCH", 64)
+    text = np.frombuffer(("  ".join(t or "" for t in docs[2]) * 2).encode(), np.uint8)
+    whole = repeats.Chunk(text, np.array([0, len(text)]), 0)
+    a, b, _ = repeats.words_of(whole)
+    got = repeats.word_spans(text, True)
+    assert got[0].tolist() == a.tolist() and got[1].tolist() == b.tolist() and got[2].tolist() == repeats.word_hashes(whole, a, b).tolist()
+    values, w = (got[2], 35) if items == "words" else (text, 200)
+    windows = lambda rs: sorted((lo + k, h) for r in rs for lo, n, h in zip(r["lo"].tolist(), r["n"].tolist(), r["h"].tolist(), strict=True) for k in range(n))
+    assert windows(repeats.runs_within(values, w, 8)) == windows([repeats.runs_of(values, np.array([0, len(values)]), w, 8)])
+    own = repeats.Text(text, items == "words")
+    words = text.tobytes().split()
+    kept = b" ".join(words[:5] + words[300:]) if items == "words" else text.tobytes()[:5] + text.tobytes()[300:]
+    assert own.kept(np.array([5]), np.array([300])) == hashlib.sha256(kept).hexdigest()
+
+
+@pytest.mark.parametrize("items", OPERATORS)
 @pytest.mark.parametrize("limit", [2048, 3])
-def test_words_against_brute_force(docs, limit):
-    df, texts = docs
-    got = sorted((r["n_words"], r["n_removed"], r["kept_sha256"]) for r in blocks.deduplicated(df, limit=limit).collect())
-    assert got == sorted(brute(texts, 35, bytes.split, b" ".join))
-
-
-def test_texts_of_equal_short_hash_are_told_apart(spark):
-    from pyspark.sql import functions as F
-
-    passage = " ".join(f"passage{i}" for i in range(40))
-    other = " ".join(f"other{i}" for i in range(50))
-    # the first two collide in 32 bits
-    texts = [f"{passage} 40396", f"{other} 175029", f"{passage} and no more"]
-    df = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
-    hashes = [r[0] for r in df.select(F.hash(F.col("text").cast("binary"))).collect()]
-    assert hashes[0] == hashes[1]
-    got = sorted((r["n_words"], r["n_removed"], r["kept_sha256"]) for r in blocks.deduplicated(df).collect())
-    assert got == sorted(brute(texts, 35, bytes.split, b" ".join))
-    got = sorted((r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in suffixes.deduplicated(df).collect())
-    assert got == sorted(brute(texts, 200, bytes, bytes))
+def test_nothing_is_removed_without_the_method(docs, items, limit):
+    df, _, texts = docs
+    module = OPERATORS[items][0]
+    kind = module.kind()
+    blind = repeats.Kind(kind.words, kind.w, kind.g, lambda r: np.zeros(int(r.n.sum()), bool))
+    assert repeats.repeated(df, blind, limit).count() == 0
+
+
+@pytest.mark.parametrize("items", OPERATORS)
+def test_ids_of_any_type(docs, spark, items):
+    _, ids, texts = docs
+    df = spark.createDataFrame([(None if i is None else f"d{i}", t, 1) for i, t in zip(ids, texts, strict=True)], "doc_id string, text string, t int")
+    got = rows_of(OPERATORS[items][0].deduplicated(df, limit=3), OPERATORS[items][4])
+    assert got == wanted([None if i is None else f"d{i}" for i in ids], texts, items)
+
+
+@pytest.mark.parametrize("places", [0, 1, 32])
+def test_extension_and_window_classes_mark_the_same(docs, places, monkeypatch):
+    """Over the runs of every gram at once, whatever the number of places that are extended one by one."""
+    monkeypatch.setattr(blocks, "PLACES", places)
+    texts = [t.encode() for t in docs[2] if t and len(t.split()) >= 35]
+    joined = [b" ".join(t.split()) for t in texts]
+    buf, offs = np.frombuffer(b"".join(joined), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in joined])])
+    n = np.array([len(t.split()) - 34 for t in texts])
+    same = np.zeros(len(n), np.int64)
+    # one group; where the gram stands is not used but to tell windows apart, so that it must not
+    r = repeats.Runs(buf, offs, np.arange(len(n)), same, n, same, 35)
+    r.meeting = lambda run, at: np.zeros(len(run), np.uint64)
+    seen = Counter(tuple(t.split()[i : i + 35]) for t in texts for i in range(len(t.split()) - 34))
+    want = [seen[tuple(t.split()[i : i + 35])] > 1 for t in texts for i in range(len(t.split()) - 34)]
+    assert blocks.resolve(r).tolist() == want
+
+
+def test_a_class_of_other_bytes_is_left_alone(spark):
+    """Where the digest is not that of the document's own bytes, as with a collision of hashes, nothing goes."""
+    text = "w " * 30 + "end"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    cover = repeats.texts_of(df).select("t", F.lit(0).alias("a"), F.lit(20).alias("b"), F.lit(0).alias("lo"), F.lit(20).alias("hi"), F.lit(b"0" * 16).alias("digest"))
+    assert repeats.removed(df, cover, suffixes.kind()).first()["n_removed"] == 0
+    cover = cover.withColumn("digest", F.lit(hashlib.blake2b(text.encode()[:20], digest_size=16).digest()))
+    assert repeats.removed(df, cover, suffixes.kind()).first()["n_removed"] == 20
 
 
 def test_empty(empty):
