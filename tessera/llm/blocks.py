@@ -39,6 +39,25 @@ def agreeing(p: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray, back
     return low
 
 
+def alike(r: repeats.Runs) -> np.ndarray:
+    """Runs whose first blocks hit each other and extend to the end of both are equal; verified on the bytes."""
+    c = Chunk(r.buf, r.offs, 0)
+    starts, ends, heads = words_of(c)
+    p = prefix(word_hashes(c, starts, ends))
+    head, size = heads[r.of], np.diff(heads)[r.of]
+    key = r.alike_at_best() + mixed(span(p, head, head + (r.w + 1) // 2))
+    order = np.lexsort((span(p, head, head + size), key))
+    a, b = order[:-1], order[1:]
+    bytes_a, bytes_b = (r.offs[r.of[z] + 1] - r.offs[r.of[z]] for z in (a, b))
+    at = np.flatnonzero((key[a] == key[b]) & (size[a] == size[b]) & (bytes_a == bytes_b))
+    at = at[agreeing(p, head[a[at]], head[b[at]], size[a[at]]) == size[a[at]]]
+    same = np.zeros(len(order), bool)
+    same[at + 1] = repeats.equal_bytes(r.buf, r.offs[r.of[a[at]]], r.offs[r.of[b[at]]], bytes_a[at])
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(~same)
+    return out
+
+
 def resolve(r: repeats.Runs) -> np.ndarray:
     c = Chunk(r.buf, r.offs, 0)
     starts, ends, heads = words_of(c)
@@ -111,7 +130,7 @@ def resolve(r: repeats.Runs) -> np.ndarray:
 
 
 def kind(length: int = LENGTH, gram: int = GRAM) -> repeats.Kind:
-    return repeats.Kind(True, length, gram, resolve)
+    return repeats.Kind(True, length, gram, alike, resolve)
 
 
 def deduplicated(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, limit: int = repeats.GROUP_LIMIT) -> DataFrame:

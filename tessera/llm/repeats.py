@@ -39,11 +39,15 @@ DIGEST = 16
 
 @dataclass(frozen=True)
 class Kind:
-    """words: items are words, else bytes. w items a window, g a gram. resolve marks the repeated windows of whole groups."""
+    """words: items are words, else bytes. w items a window, g a gram.
+
+    The method: alike numbers the runs of whole groups, equal ones alike; resolve marks their repeated windows.
+    """
 
     words: bool
     w: int
     g: int
+    alike: Callable[["Runs"], np.ndarray]
     resolve: Callable[["Runs"], np.ndarray]
 
 
@@ -59,6 +63,13 @@ class Runs:
     off: np.ndarray
     w: int
 
+    def some(self, rows: np.ndarray) -> "Runs":
+        return Runs(self.buf, self.offs, self.of[rows], self.group[rows], self.n[rows], self.off[rows], self.w)
+
+    def alike_at_best(self) -> np.ndarray:
+        """Equal runs have equal numbers: their gram, where it stands, and how many windows they have."""
+        return mixed(self.group.view(np.uint64) + mixed((self.off << 32 | self.n).astype(np.uint64)))
+
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         """Run and place in it, of each window."""
         run = np.repeat(np.arange(len(self.n)), self.n)
@@ -182,21 +193,22 @@ def texts_of(documents: DataFrame) -> DataFrame:
 
 
 def distinct_texts(documents: DataFrame, least: int) -> DataFrame:
-    """t, m (documents that have the text), text, of the texts of least bytes or more."""
+    """id (a number given here), t, m (documents that have the text), text, of the texts of least bytes or more."""
     texts = texts_of(documents).where(F.length("text") >= least).select("t", "text")
     again = stored(texts.groupBy("t").agg(F.count("*").alias("m")).where("m > 1"))
-    single = texts.join(again, "t", "left_anti").select("t", F.lit(1).cast("long").alias("m"), "text")
+    single = texts.join(again, "t", "left_anti").select("t", F.lit(1).alias("m"), "text")
     # drawn together within each task before they are dealt, so that a text with very many copies is no large group
     several = texts.join(again.select("t"), "t", "left_semi").groupBy("t").agg(F.first("text").alias("text"))
-    return stored(single.union(several.join(again, "t").select("t", "m", "text")))
+    # the numbers are those of this one writing
+    return stored(single.union(several.join(again, "t").select("t", F.col("m").cast("int"), "text")).select(F.monotonically_increasing_id().alias("id"), "t", "m", "text"))
 
 
-RUN = "h long, ctx long, t binary, m long, lo int, n int, off int"
+RUN = "h long, ctx long, id long, m int, lo int, n int, off int"
 
 
 def run_rows(texts: DataFrame, kind: Kind) -> DataFrame:
-    """h, ctx, t, m, lo, n, off: the runs of texts (t, m, text)."""
-    names = ["h", "ctx", "t", "m", "lo", "n", "off"]
+    """h, ctx, id, m, lo, n, off: the runs of texts (id, m, text)."""
+    names = [x.split()[0] for x in RUN.split(", ")]
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,12 +226,12 @@ def run_rows(texts: DataFrame, kind: Kind) -> DataFrame:
                         at = pa.array(r["doc"] + c.first)
                         yield pa.RecordBatch.from_arrays([pa.array(r["h"]), pa.array(r["ctx"]), batch.column(0).take(at), batch.column(1).take(at), *[pa.array(r[k].astype(np.int32)) for k in ("lo", "n", "off")]], names)
 
-    return texts.select("t", "m", "text").mapInArrow(select, RUN)
+    return texts.select("id", "m", "text").mapInArrow(select, RUN)
 
 
 def classes_of(runs: DataFrame) -> DataFrame:
     """h, ctx, c (runs of the class, copies counted), one and two (its first and last run)."""
-    one = F.struct("t", "lo", "n", "off", "m")
+    one = F.struct("id", "lo", "n", "off", "m")
     return stored(runs.groupBy("h", "ctx").agg(F.sum("m").alias("c"), F.min(one).alias("one"), F.max(one).alias("two")))
 
 
@@ -227,13 +239,13 @@ def shown(classes: DataFrame, group) -> DataFrame:
     """The runs that the method sees of each class."""
     each = F.explode(F.array_distinct(F.array("one", "two")))
     out = classes.select(group.alias("g"), "h", "ctx", (F.col("c") == 1).alias("once"), each.alias("r"))
-    return out.select("r.t", F.struct("g", "h", "ctx", "once", "r.lo", "r.n", "r.off", (F.col("r.m") > 1).alias("twice")).alias("r"))
+    return out.select("r.id", F.struct("g", "h", "ctx", "once", "r.lo", "r.n", "r.off", (F.col("r.m") > 1).alias("twice")).alias("r"))
 
 
 def with_texts(texts: DataFrame, rows: DataFrame) -> DataFrame:
-    """t, r, text: rows (t, r) gathered by text, at most as many as it has runs."""
-    lists = rows.groupBy("t").agg(F.collect_list("r").alias("r"))
-    return texts.select("t", "text").join(lists.hint("shuffle_hash"), "t").select("t", "r", "text")
+    """id, r, text: rows (id, r) gathered by text, at most as many as it has runs."""
+    lists = rows.groupBy("id").agg(F.collect_list("r").alias("r"))
+    return texts.select("id", "text").join(lists.hint("shuffle_hash"), "id").select("id", "r", "text")
 
 
 def each_run(batch: pa.RecordBatch, words: bool, rows: int = 4096) -> Iterator[tuple[int, Text, pa.StructArray]]:
@@ -251,7 +263,7 @@ def each_run(batch: pa.RecordBatch, words: bool, rows: int = 4096) -> Iterator[t
 
 
 def repeated(documents: DataFrame, kind: Kind, limit: int = GROUP_LIMIT) -> DataFrame:
-    """t, a, b, lo, hi, digest: items [a, b) of the text t are covered by repeated windows; the rows of a text may overlap.
+    """t, r: the text's list of (a, b, lo, hi, digest): its items [a, b), which may overlap, are covered by repeated windows.
 
     Where there is a digest, that is so if it is the one of the items [lo, hi).
     """
@@ -263,28 +275,28 @@ def repeated(documents: DataFrame, kind: Kind, limit: int = GROUP_LIMIT) -> Data
     met = stored(runs.join(stored(met), "h"), plain=True)
     classes = classes_of(met)
     hot = stored(classes.groupBy("h").agg(F.count("*").alias("_k")).where(F.col("_k") > limit).select("h"))
-    members = met.join(classes.where("c > 1").select("h", "ctx"), ["h", "ctx"]).select("h", "ctx", "t", "lo", "n")
+    members = met.select("h", "ctx", "id", "lo", "n")
     if not hot.limit(1).count():
         rows = shown(classes, F.col("h"))
     else:
         rows = shown(classes.join(hot, "h", "left_anti"), F.col("h"))
         dense = classes.join(hot, "h", "left_semi")
         rows = rows.union(shown(dense.where("c > 1"), F.xxhash64("h", "ctx")))
-        dealt = stored(deal(with_texts(texts, dense.select("one.t", F.struct("one.lo", "one.n", F.least("c", F.lit(2).cast("long")).alias("m")).alias("r"))), kind), plain=True)
-        own = classes_of(dealt)
-        own = own.where("c > 1")
-        rows = rows.union(shown(own, F.xxhash64("h", "ctx", F.lit(1))))
-        members = members.union(dealt.where("m = 1").join(own.select("h", "ctx"), ["h", "ctx"]).select("h", "ctx", "t", "lo", "n"))
-    found = stored(with_texts(texts, rows).mapInArrow(_gathered(fetch(kind)), FETCHED))
+        dealt = stored(deal(with_texts(texts, dense.select("one.id", F.struct("one.lo", "one.n", F.least("c", F.lit(2).cast("long")).cast("int").alias("m")).alias("r"))), kind), plain=True)
+        rows = rows.union(shown(classes_of(dealt).where("c > 1"), F.xxhash64("h", "ctx", F.lit(1))))
+        members = members.union(dealt.where("m = 1").select("h", "ctx", "id", "lo", "n"))
+    found = with_texts(texts, rows).mapInArrow(_gathered(fetch(kind)), FETCHED)
     judged = stored(found.repartition("g").sortWithinPartitions("g").mapInArrow(compare(kind), JUDGED))
-    sole = judged.where("once").select("t", "a", "b", F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(None).cast("binary").alias("digest"))
+    sole = judged.where("once").select("id", "a", "b", F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(None).cast("binary").alias("digest"))
     held = judged.where("not once").select("h", "ctx", "a", "b", "digest").distinct()
-    same = members.join(held, ["h", "ctx"]).select("t", (F.col("lo") + F.col("a")).alias("a"), (F.col("lo") + F.col("b")).alias("b"), "lo", (F.col("lo") + F.col("n") + (w - 1)).alias("hi"), "digest")
-    return sole.union(same)
+    same = members.join(held, ["h", "ctx"]).select("id", (F.col("lo") + F.col("a")).alias("a"), (F.col("lo") + F.col("b")).alias("b"), "lo", (F.col("lo") + F.col("n") + (w - 1)).alias("hi"), "digest")
+    # at most as many as the text has runs
+    lists = sole.union(same).groupBy("id").agg(F.collect_set(F.struct("a", "b", "lo", "hi", "digest")).alias("r"))
+    return lists.join(texts.select("id", "t"), "id").select("t", "r")
 
 
-FETCHED = "g long, h long, ctx long, once boolean, t binary, lo int, n int, off int, twice boolean, text binary"
-JUDGED = "h long, ctx long, once boolean, t binary, a int, b int, digest binary"
+FETCHED = "g long, h long, ctx long, once boolean, id long, lo int, n int, off int, twice boolean, text binary"
+JUDGED = "h long, ctx long, once boolean, id long, a int, b int, digest binary"
 
 
 def fetch(kind: Kind) -> Callable:
@@ -322,7 +334,7 @@ def deal(rows: DataFrame, kind: Kind) -> DataFrame:
                     ctx = mixed(span(p, at, at + w // 2) + np.uint64(w))
                     same = pa.array(np.full(len(at), row))
                     whole = lambda x, k=len(at): pa.array(np.full(k, x, np.int32))
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ctx.view(np.int64)), batch.column(0).take(same), pa.array(np.repeat(m[own], n[own])), pa.array((at + a).astype(np.int32)), whole(1), whole(0)], ["h", "ctx", "t", "m", "lo", "n", "off"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ctx.view(np.int64)), batch.column(0).take(same), pa.array(np.repeat(m[own], n[own])), pa.array((at + a).astype(np.int32)), whole(1), whole(0)], [x.split()[0] for x in RUN.split(", ")])
 
     return rows.mapInArrow(_gathered(run, 20_000), RUN)
 
@@ -338,13 +350,22 @@ def compare(kind: Kind) -> Callable:
         # a text with copies is seen twice
         of = np.concatenate([np.arange(len(n)), np.flatnonzero(twice)])
         r = Runs(c.buf, c.offs, of, group[of], n[of], off[of], w)
-        run, at = r.windows()
-        hit = kind.resolve(r) & (run < len(n))
-        run, at = run[hit], at[hit]
+        number = kind.alike(r)
+        _, rep, number, size = np.unique(number, return_index=True, return_inverse=True, return_counts=True)
+        whole = np.flatnonzero(size[number[: len(n)]] > 1)
+        # windows are compared where a run without its like stands beside others; of equal runs one is enough
+        _, place, runs = np.unique(r.group[rep], return_inverse=True, return_counts=True)
+        take = rep[(runs[place] > 1) & (np.bincount(place, size == 1) > 0)[place]]
+        own = r.some(take)
+        run, at = own.windows()
+        hit = kind.resolve(own) if len(take) else np.zeros(0, bool)
+        run, at = take[run[hit]], at[hit]
+        left = size[number[run]] == 1
+        run, at = run[left], at[left]
         new = np.concatenate([[True], (run[1:] != run[:-1]) | (at[1:] != at[:-1] + 1)]) if len(run) else np.zeros(0, bool)
         first = np.flatnonzero(new)
         last = np.concatenate([first[1:] - 1, [len(run) - 1]]) if len(first) else first
-        run, a, b = run[first], at[first], at[last] + w
+        run, a, b = np.concatenate([whole, run[first]]), np.concatenate([np.zeros(len(whole), np.int64), at[first]]), np.concatenate([n[whole] + w - 1, at[last] + w])
         # of a class the places within its runs, with what their items must be; of a sole run its places in the text
         digests = {k: hashlib.blake2b(c.text(k), digest_size=DIGEST).digest() for k in set(run[~once[run]].tolist())}
         lo = np.where(once[run], batch.column(5).to_numpy()[run], 0)
@@ -394,8 +415,6 @@ def _gathered(f: Callable, rows: int = 5000) -> Callable:
 def removed(documents: DataFrame, cover: DataFrame, kind: Kind) -> DataFrame:
     """A row a document: doc_id, n_items, n_removed, n_spans, kept_sha256."""
     key = documents.schema["doc_id"].dataType.simpleString()
-    lists = cover.groupBy("t").agg(F.collect_set(F.struct("a", "b", "lo", "hi", "digest")).alias("r"))  # at most as many as the text has runs
-
     def one(text: Text, r: pa.StructArray) -> tuple[int, int, int, str]:
         a, b, lo, hi = (r.field(k).to_numpy().astype(np.int64) for k in ("a", "b", "lo", "hi"))
         fine = np.ones(len(a), bool)
@@ -418,7 +437,7 @@ def removed(documents: DataFrame, cover: DataFrame, kind: Kind) -> DataFrame:
                 rows = [one(Text(c.buf[c.offs[k] : c.offs[k + 1]], kind.words), flat.slice(int(ends[c.first + k] - counts[c.first + k]), int(counts[c.first + k]))) for k in range(c.n)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.n), *[pa.array(x) for x in zip(*rows, strict=True)]], ["doc_id", "n_items", "n_removed", "n_spans", "kept_sha256"])
 
-    joined = texts_of(documents).alias("d").join(lists.alias("o").hint("shuffle_hash"), F.col("d.t") == F.col("o.t"), "left").select("d.doc_id", "d.text", "o.r")
+    joined = texts_of(documents).alias("d").join(cover.alias("o").hint("shuffle_hash"), F.col("d.t") == F.col("o.t"), "left").select("d.doc_id", "d.text", "o.r")
     return joined.mapInArrow(run, f"doc_id {key}, n_items long, n_removed long, n_spans long, kept_sha256 string")
 
 

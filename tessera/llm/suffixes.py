@@ -24,30 +24,30 @@ GRAM = 32
 
 
 class Suffixes:
-    """Suffixes of buf, compared up to length bytes, which all have."""
+    """Suffixes of buf, compared up to a length of their own; those of one key have one length."""
 
-    def __init__(self, buf: np.ndarray, length: int):
-        self.buf, self.length, self.hashes = buf, length, prefix(buf)
+    def __init__(self, buf: np.ndarray):
+        self.buf, self.hashes = buf, prefix(buf)
 
-    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def common(self, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Length of the longest common extension, at most length: whole ones first, then binary search."""
-        out = np.full(len(a), self.length, np.int64)
-        rest = np.flatnonzero(span(self.hashes, a, a + self.length) != span(self.hashes, b, b + self.length))
+        out = length.copy()
+        rest = np.flatnonzero(span(self.hashes, a, a + length) != span(self.hashes, b, b + length))
         a, b = a[rest], b[rest]
-        low, high = np.zeros(len(rest), np.int64), np.full(len(rest), self.length, np.int64)  # low agree, high do not
-        for _ in range(self.length.bit_length()):
+        low, high = np.zeros(len(rest), np.int64), length[rest]  # low agree, high do not
+        for _ in range(int(high.max(initial=0)).bit_length()):
             mid = (low + high) >> 1
             same = span(self.hashes, a, a + mid) == span(self.hashes, b, b + mid)
             low, high = np.where(same, mid, low), np.where(same, high, np.maximum(mid, low + 1))
         out[rest] = low
         return out
 
-    def less(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        n = self.common(a, b)
-        last = np.minimum(n, self.length - 1)
-        return (n < self.length) & (self.buf[a + last] < self.buf[b + last])
+    def less(self, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+        n = self.common(a, b, length)
+        last = np.minimum(n, length - 1)
+        return (n < length) & (self.buf[a + last] < self.buf[b + last])
 
-    def sort(self, starts: np.ndarray, key: np.ndarray) -> np.ndarray:
+    def sort(self, starts: np.ndarray, key: np.ndarray, length: np.ndarray) -> np.ndarray:
         """The order of the suffixes by key, then bytes, then place."""
         head = np.zeros(len(starts), np.uint64)
         for k in range(8):
@@ -59,7 +59,8 @@ class Suffixes:
         # runs whose neighbours all agree are in order already
         pair = np.flatnonzero(~new)
         apart = np.zeros(len(order), bool)
-        apart[pair] = span(self.hashes, starts[order[pair]], starts[order[pair]] + self.length) != span(self.hashes, starts[order[pair - 1]], starts[order[pair - 1]] + self.length)
+        i, j = order[pair], order[pair - 1]
+        apart[pair] = span(self.hashes, starts[i], starts[i] + length[i]) != span(self.hashes, starts[j], starts[j] + length[i])
         tied = np.add.reduceat(apart, first) > 0
         first, size = first[tied], size[tied]
         width = 1
@@ -67,11 +68,11 @@ class Suffixes:
             more = size > width
             first, size = first[more], size[more]
             if len(first):
-                self._merge(order, starts, first, size, width)
+                self._merge(order, starts, length, first, size, width)
             width *= 2
         return order
 
-    def _merge(self, order: np.ndarray, starts: np.ndarray, first: np.ndarray, size: np.ndarray, width: int) -> None:
+    def _merge(self, order: np.ndarray, starts: np.ndarray, length: np.ndarray, first: np.ndarray, size: np.ndarray, width: int) -> None:
         """Merges neighbouring sorted blocks of width within each run: every element finds its rank in the other block."""
         run = np.repeat(np.arange(len(first)), size)
         base = first[run]
@@ -79,7 +80,7 @@ class Suffixes:
         block = at // width
         other = (block ^ 1) * width
         n = np.clip(size[run] - other, 0, width)
-        own = starts[order[base + at]]
+        own, long = starts[order[base + at]], length[order[base + at]]
         low, high = np.zeros(len(run), np.int64), n.copy()
         for _ in range(width.bit_length()):
             live = np.flatnonzero(low < high)
@@ -88,32 +89,44 @@ class Suffixes:
             mid = (low[live] + high[live]) >> 1
             it = starts[order[base[live] + other[live] + mid]]
             # left elements come before equal right ones
-            before = np.where(block[live] & 1, ~self.less(own[live], it), self.less(it, own[live]))
+            before = np.where(block[live] & 1, ~self.less(own[live], it, long[live]), self.less(it, own[live], long[live]))
             low[live] = np.where(before, mid + 1, low[live])
             high[live] = np.where(before, high[live], mid)
         place = base + (block >> 1) * 2 * width + at % width + low
         moved = order[base + at]
         order[place] = moved
 
+    def neighbours(self, starts: np.ndarray, key: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sorted order, and which of it agree with the one before in their whole length, verified on the bytes."""
+        order = self.sort(starts, key, length)
+        same = np.zeros(len(order), bool)
+        at = 1 + np.flatnonzero((key[order][1:] == key[order][:-1]) & (length[order][1:] == length[order][:-1]))
+        a, b, n = starts[order[at - 1]], starts[order[at]], length[order[at]]
+        whole = self.common(a, b, n) >= n
+        at, a, b, n = at[whole], a[whole], b[whole], n[whole]
+        same[at] = repeats.equal_bytes(self.buf, a, b, n)
+        return order, same
+
+
+def alike(r: repeats.Runs) -> np.ndarray:
+    """The suffixes at which runs begin, sorted: neighbours that agree to their end are equal."""
+    order, same = Suffixes(r.buf).neighbours(r.offs[r.of], r.alike_at_best(), r.n + r.w - 1)
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(~same)
+    return out
+
 
 def resolve(r: repeats.Runs) -> np.ndarray:
+    """The suffixes at which windows begin, sorted: neighbours that agree in a window are repeats."""
     run, at = r.windows()
-    starts = r.offs[r.of[run]] + at
-    s = Suffixes(r.buf, r.w)
-    key = r.meeting(run, at)
-    order = s.sort(starts, key)
-    a, b = order[:-1], order[1:]
-    near = np.flatnonzero(key[a] == key[b])
-    a, b = a[near], b[near]
-    a, b = (x[s.common(starts[a], starts[b]) >= r.w] for x in (a, b))
-    fine = repeats.equal_bytes(r.buf, starts[a], starts[b], np.full(len(a), r.w, np.int64))
+    order, same = Suffixes(r.buf).neighbours(r.offs[r.of[run]] + at, r.meeting(run, at), np.full(len(run), r.w, np.int64))
     out = np.zeros(len(run), bool)
-    out[a[fine]] = out[b[fine]] = True
+    out[order[same]] = out[order[np.flatnonzero(same) - 1]] = True
     return out
 
 
 def kind(length: int = LENGTH, gram: int = GRAM) -> repeats.Kind:
-    return repeats.Kind(False, length, gram, resolve)
+    return repeats.Kind(False, length, gram, alike, resolve)
 
 
 def deduplicated(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, limit: int = repeats.GROUP_LIMIT) -> DataFrame:

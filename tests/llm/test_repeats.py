@@ -78,7 +78,7 @@ def test_nothing_is_removed_without_the_method(docs, items, limit):
     df, _, texts = docs
     module = OPERATORS[items][0]
     kind = module.kind()
-    blind = repeats.Kind(kind.words, kind.w, kind.g, lambda r: np.zeros(int(r.n.sum()), bool))
+    blind = repeats.Kind(kind.words, kind.w, kind.g, lambda r: np.arange(len(r.n)), lambda r: np.zeros(int(r.n.sum()), bool))
     assert repeats.repeated(df, blind, limit).count() == 0
 
 
@@ -111,10 +111,9 @@ def test_a_class_of_other_bytes_is_left_alone(spark):
     """Where the digest is not that of the document's own bytes, as with a collision of hashes, nothing goes."""
     text = "w " * 30 + "end"
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
-    cover = repeats.texts_of(df).select("t", F.lit(0).alias("a"), F.lit(20).alias("b"), F.lit(0).alias("lo"), F.lit(20).alias("hi"), F.lit(b"0" * 16).alias("digest"))
-    assert repeats.removed(df, cover, suffixes.kind()).first()["n_removed"] == 0
-    cover = cover.withColumn("digest", F.lit(hashlib.blake2b(text.encode()[:20], digest_size=16).digest()))
-    assert repeats.removed(df, cover, suffixes.kind()).first()["n_removed"] == 20
+    for digest, gone in ((b"0" * 16, 0), (hashlib.blake2b(text.encode()[:20], digest_size=16).digest(), 20)):
+        entry = F.struct(F.lit(0).alias("a"), F.lit(20).alias("b"), F.lit(0).alias("lo"), F.lit(20).alias("hi"), F.lit(digest).alias("digest"))
+        assert repeats.removed(df, repeats.texts_of(df).select("t", F.array(entry).alias("r")), suffixes.kind()).first()["n_removed"] == gone
 
 
 def test_empty(empty):
@@ -124,12 +123,13 @@ def test_empty(empty):
 def test_suffix_sort_is_a_sort():
     rng = np.random.default_rng(2)
     buf = np.concatenate([rng.integers(97, 99, 300), np.full(200, 97), rng.integers(97, 99, 300)]).astype(np.uint8)
-    s = suffixes.Suffixes(buf, 40)
-    starts = rng.permutation(len(buf) - 40)
-    key = rng.integers(0, 2, len(starts)).astype(np.uint64)
-    order = s.sort(starts, key)
-    want = sorted(range(len(starts)), key=lambda i: (key[i], buf[starts[i] : starts[i] + 40].tobytes()))
-    assert [(key[i], buf[starts[i] : starts[i] + 40].tobytes()) for i in order] == [(key[i], buf[starts[i] : starts[i] + 40].tobytes()) for i in want]
+    starts = rng.permutation(len(buf) - 60)
+    key = rng.integers(0, 3, len(starts)).astype(np.uint64)
+    length = np.array([40, 13, 60])[key.astype(np.int64)]
+    order, same = suffixes.Suffixes(buf).neighbours(starts, key, length)
+    text = lambda i: (key[i], buf[starts[i] : starts[i] + length[i]].tobytes())
+    assert [text(i) for i in order] == sorted(map(text, range(len(starts))))
+    assert same.tolist() == [k > 0 and text(order[k]) == text(order[k - 1]) for k in range(len(order))]
 
 
 def test_collisions_are_caught():
