@@ -156,12 +156,16 @@ class Text:
     """One text: its number of items, and the bytes of items [a, b), words joined by one space."""
 
     def __init__(self, buf: np.ndarray, words: bool):
-        self.buf, self.words = buf, words
-        if words:
+        self.buf, self.list = buf, None
+        if words and len(buf) <= STRETCH:
+            self.list = buf.tobytes().split()
+        elif words:
             self.starts, self.ends, _ = word_spans(buf)
-        self.n = len(self.starts) if words else len(buf)
+        self.words, self.n = words, len(self.list) if self.list is not None else len(self.starts) if words else len(buf)
 
     def items(self, a: int, b: int) -> bytes:
+        if self.list is not None:
+            return b" ".join(self.list[a:b])
         if not self.words:
             return self.buf[a:b].tobytes()
         return b" ".join(self.buf[self.starts[a] : self.ends[b - 1]].tobytes().split()) if b > a else b""

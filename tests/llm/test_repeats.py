@@ -67,6 +67,7 @@ def test_long_texts_are_read_in_stretches(docs, items, monkeypatch):
     windows = lambda rs: sorted((lo + k, h) for r in rs for lo, n, h in zip(r["lo"].tolist(), r["n"].tolist(), r["h"].tolist(), strict=True) for k in range(n))
     assert windows(repeats.runs_within(values, w, 8)) == windows([repeats.runs_of(values, np.array([0, len(values)]), w, 8)])
     own = repeats.Text(text, items == "words")
+    assert own.list is None
     words = text.tobytes().split()
     kept = b" ".join(words[:5] + words[300:]) if items == "words" else text.tobytes()[:5] + text.tobytes()[300:]
     assert own.kept(np.array([5]), np.array([300])) == hashlib.sha256(kept).hexdigest()
