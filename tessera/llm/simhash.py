@@ -1,10 +1,15 @@
 """SimHash near-duplicates with BK-trees.
 
-Fingerprints of distinct value meet in shards: 64 bits are cut into six blocks, and two fingerprints that differ in at most
-four bits agree in at least two blocks, so each goes to the 15 shards keyed by a pair of its blocks (about 21 bits). Each
-shard holds a BK-tree, children keyed by the integer Hamming distance to their parent; a search follows only edges within
-the radius. Shards over a limit are dealt anew by block pairs of their other bits, which loses no link. A shard sends on a
-spanning forest of its links, never all pairs; components come from star contraction of those edges.
+Fingerprints of distinct value meet in shards: the 64 bits are cut into blocks, and two fingerprints that differ in at most
+four bits agree in all blocks but four, so each goes to one shard for every choice of the others. There are five blocks or
+more, as few as keep a shard at some tens of fingerprints, so that the trees do the searching and not the cuts. Each shard
+holds a BK-tree, children keyed by the integer Hamming distance to their parent; a search follows only edges within the
+radius. The fingerprints of shards over a limit meet again by more blocks, which loses no link and ends: fingerprints that
+agree in 60 bits are 16 at most. A shard sends on a spanning forest of its links, never all pairs; components come from star
+contraction of those edges.
+
+A tree is built where its shard's fingerprints meet. It is not broadcast: a broadcast goes through the driver, where the
+trees together are the fingerprints of all documents.
 
 Defined cases: a null or empty text has fingerprint zero and links like any other; equal fingerprints are one tree node;
 repeated rows are kept; an empty table gives no rows; other columns play no part.
@@ -24,7 +29,8 @@ from pyspark.sql import functions as F
 from .common import chunks, load, stored
 
 RADIUS = 4
-BLOCKS = 6
+#: Fingerprints of a shard, on average at most if they were even; and those that a task compares at once.
+SHARD_MEAN = 64
 SHARD_LIMIT = 4096
 _SPREAD = sum(((np.arange(256, dtype=np.uint64) >> np.uint64(b)) & np.uint64(1)) << np.uint64(8 * b) for b in range(8))
 
@@ -126,69 +132,79 @@ def forest(values: list[int], radius: int = RADIUS) -> list[tuple[int, int]]:
     return links
 
 
-def block_masks(bits: list[int], blocks: int = BLOCKS, agree: int = BLOCKS - RADIUS) -> list[int]:
-    """Masks of the block choices of which one at least is equal in two values that differ in blocks - agree bits or fewer."""
-    cuts = np.array_split(np.array(bits), blocks)
-    return [sum(1 << int(b) for k in pick for b in cuts[k]) for pick in combinations(range(blocks), agree)]
+def block_masks(blocks: int, radius: int = RADIUS) -> list[int]:
+    """Masks of the block choices of which one at least is equal in two values that differ in radius bits or fewer."""
+    cuts = np.array_split(np.arange(64), blocks)
+    return [sum(1 << int(b) for k in pick for b in cuts[k]) for pick in combinations(range(blocks), blocks - radius)]
+
+
+def blocks_for(n: int, radius: int = RADIUS, mean: int = SHARD_MEAN) -> int:
+    """The fewest blocks with which n even fingerprints are mean a shard, or less."""
+    return next(b for b in range(radius + 1, 65) if n <= mean << (64 * (b - radius) // b) or b == 64)
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(prints: DataFrame, radius: int = RADIUS, limit: int = SHARD_LIMIT) -> DataFrame:
+def _search(radius: int, limit: int):
+    """Edges (true, a, b) of the shards up to the limit, and the fingerprints (false, a, a) of the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[int] = []
+        at, over = None, False
+
+        def out(rows: list[tuple[bool, int, int]]) -> pa.RecordBatch:
+            cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.bool_()), *[pa.array([_signed(x) for x in c], pa.int64()) for c in cols[1:]]], ["edge", "a", "b"])
+
+        for batch in batches:
+            keys = np.stack([batch.column(0).to_numpy().astype(np.int64), batch.column(1).to_numpy()])
+            values = batch.column(2).to_numpy().view(np.uint64)
+            edges = np.flatnonzero(np.any(keys[:, 1:] != keys[:, :-1], axis=0)) + 1
+            rows = []
+            for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(values)], strict=True):
+                if lo == hi:
+                    continue
+                if (key := (int(keys[0, lo]), int(keys[1, lo]))) != at:
+                    if len(held) > 1:
+                        rows += [(True, *e) for e in forest(held, radius)]
+                    at, held, over = key, [], False
+                held += values[lo:hi].tolist()
+                if over or len(held) > limit:  # not held here: they meet again
+                    rows += [(False, v, v) for v in held]
+                    held, over = [], True
+            if rows:
+                yield out(rows)
+        if len(held) > 1:
+            yield out([(True, *e) for e in forest(held, radius)])
+
+    return run
+
+
+def links(prints: DataFrame, radius: int = RADIUS, limit: int = SHARD_LIMIT, mean: int = SHARD_MEAN) -> DataFrame:
     """a, b (long): edges over the distinct fingerprints of the column fingerprint, with the components of all links."""
-    blocks = radius + 2
-    first = block_masks(list(range(64)), blocks, 2)
-    masks = F.array(*[F.lit(_signed(m)) for m in first])
-
-    def search(final: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: list[int] = []
-            at, hot = None, False
-
-            def out(rows):
-                cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
-                return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array([_signed(x) for x in cols[1]], pa.int64()), pa.array([_signed(x) for x in cols[2]], pa.int64())], ["shard", "a", "b"])
-
-            for batch in batches:
-                keys = np.stack([batch.column(0).to_numpy().astype(np.int64), batch.column(1).to_numpy()])
-                values = batch.column(2).to_numpy().view(np.uint64)
-                edges = np.flatnonzero(np.any(keys[:, 1:] != keys[:, :-1], axis=0)) + 1
-                rows = []
-                for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(values)], strict=True):
-                    if lo == hi:
-                        continue
-                    if (key := (int(keys[0, lo]), int(keys[1, lo]))) != at:
-                        if len(held) > 1:
-                            rows += [(-1, *e) for e in forest(held, radius)]
-                        at, held, hot = key, [], False
-                    held += values[lo:hi].tolist()
-                    if not final and (hot or len(held) > limit):  # not held here: dealt anew
-                        rows += [(at[0], v, v) for v in held]
-                        held, hot = [], True
-                if rows:
-                    yield out(rows)
-            if len(held) > 1:
-                yield out([(-1, *e) for e in forest(held, radius)])
-
-        return run
-
-    schema = "shard int, a long, b long"
-    prints = prints.select("fingerprint").distinct()
-    deal = prints.select(F.posexplode(masks).alias("shard", "_mask"), "fingerprint").select("shard", F.col("fingerprint").bitwiseAND(F.col("_mask")).alias("_key"), "fingerprint")
-    found = stored(deal.repartition("shard", "_key").sortWithinPartitions("shard", "_key").mapInArrow(search(False), schema))
-    edges = found.where("shard < 0").select("a", "b")
-    if found.where("shard >= 0").limit(1).count():
-        again = F.array(*[F.array(*[F.lit(_signed(m | own)) for m in block_masks([b for b in range(64) if not own >> b & 1], blocks, 2)]) for own in first])
-        deal = found.where("shard >= 0").select("shard", F.posexplode(again[F.col("shard")]).alias("_sub", "_mask"), F.col("a").alias("fingerprint"))
-        deal = deal.select((F.col("shard") * 64 + F.col("_sub")).alias("shard"), F.col("fingerprint").bitwiseAND(F.col("_mask")).alias("_key"), "fingerprint").distinct()
-        edges = edges.union(stored(deal.repartition("shard", "_key").sortWithinPartitions("shard", "_key").mapInArrow(search(True), schema)).select("a", "b"))
+    todo = stored(prints.select("fingerprint").distinct())
+    blocks, edges = blocks_for(todo.count(), radius, mean), None
+    # two values that agree in all but radius bits are in no more than 1 << radius, so that with 64 blocks a shard ends
+    limit = max(limit, 1 << radius)
+    while True:
+        masks = F.array(*[F.lit(_signed(m)) for m in block_masks(blocks, radius)])
+        deal = todo.select(F.posexplode(masks).alias("shard", "_mask"), "fingerprint").select("shard", F.col("fingerprint").bitwiseAND(F.col("_mask")).alias("_key"), "fingerprint")
+        found = stored(deal.repartition("shard", "_key").sortWithinPartitions("shard", "_key").mapInArrow(_search(radius, limit), "edge boolean, a long, b long"))
+        own = found.where("edge").select("a", "b")
+        edges = own if edges is None else edges.union(own)
+        if not found.where("not edge").limit(1).count():
+            break
+        todo, blocks = stored(found.where("not edge").select(F.col("a").alias("fingerprint")).distinct()), min(64, blocks + 2)
     return edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """node, label (the least node of its component), for the nodes of edges (a, b): alternating large and small stars."""
+def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
+    """node, label (the least node of its component), for the nodes of edges (a, b): alternating large and small stars.
+
+    Their number of rounds grows with the logarithm of the nodes, so that 200 are beyond any table; an error if they are not.
+    """
     edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     for _ in range(rounds):
@@ -200,9 +216,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         edges = stored(small)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
-            break
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).union(edges.select("b", "b").distinct())
         before = state
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).union(edges.select("b", "b").distinct())
+    raise RuntimeError("components did not converge")
 
 
 def _roots(prints: DataFrame, radius: int) -> DataFrame:
