@@ -40,17 +40,48 @@ def float_text(x: pa.Array) -> pa.Array:
 
 
 def _decimal_text(scaled: Column, scale: Column) -> Column:
-    zeros = F.when(scaled == 0, scale).otherwise(F.least(scale, F.length(scaled.cast("string")) - F.length(F.rtrim(scaled.cast("string"), F.lit("0")))))
-    return F.concat(F.when(zeros > 0, F.regexp_replace(scaled.cast("string"), F.concat(F.lit("0{"), zeros.cast("string"), F.lit("}$")), F.lit(""))).otherwise(scaled.cast("string")), F.lit("@"), (scale - zeros).cast("string"))
+    """scaled: text of a whole number without leading zeros."""
+    zeros = F.when(scaled == "0", scale).otherwise(F.least(scale, F.length(scaled) - F.length(F.rtrim(scaled, F.lit("0")))))
+    return F.concat(F.when(scaled == "0", scaled).otherwise(F.substr(scaled, F.lit(1), F.length(scaled) - zeros)), F.lit("@"), (scale - zeros).cast("string"))
+
+
+def _unscaled(c: Column, scale: int) -> Column:
+    """Text of a decimal column times ten to its scale, for any scale: its digits, not its product, which may not fit."""
+    text = F.translate(F.format_number(c, scale), ",.", "")
+    bare = F.ltrim(F.replace(text, F.lit("-"), F.lit("")), F.lit("0"))
+    return F.when(bare == "", F.lit("0")).otherwise(F.concat(F.when(text.startswith("-"), F.lit("-")).otherwise(F.lit("")), bare))
+
+
+def _utc_text(c: Column, kind: T.DataType) -> Column:
+    """A timestamp in UTC with nine decimals, whatever the session's zone."""
+    if isinstance(kind, T.TimestampType):
+        micros = F.unix_micros(c)
+        days = F.floor(micros / F.lit(86_400_000_000)).cast("int")
+        rest = F.pmod(micros, F.lit(86_400_000_000))
+        at = lambda x, n: F.lpad(x.cast("string"), n, "0")
+        part = lambda size, most: F.pmod(F.floor(rest / F.lit(size)), F.lit(most))
+        date = F.date_add(F.lit("1970-01-01").cast("date"), days).cast("string")
+        return F.concat(date, F.lit("T"), at(part(3_600_000_000, 24), 2), F.lit(":"), at(part(60_000_000, 60), 2), F.lit(":"), at(part(1_000_000, 60), 2), F.lit("."), at(F.pmod(rest, F.lit(1_000_000)), 6), F.lit("000Z"))
+    text = c.cast("string")
+    whole = F.substring_index(text, ".", 1)
+    return F.concat(F.replace(whole, F.lit(" "), F.lit("T")), F.lit("."), F.rpad(F.substr(text, F.length(whole) + 2), 9, "0"), F.lit("Z"))
+
+
+@F.arrow_udf(T.StringType())
+def json_text(x: pa.Array) -> pa.Array:
+    """Canonical text of tagged JSON."""
+    from ..sources.jsonio import loads
+
+    return pa.array([None if v is None else value_text(loads(v)) for v in x.to_pylist()], pa.string())
 
 
 def canonical(c: Column, kind: T.DataType, logical: str | None = None) -> Column:
     """Canonical text of a typed column. logical: a kind that the type alone does not tell, from the field's metadata."""
     if isinstance(kind, T.StructType):
         if {f.name for f in kind} == {"currency", "scaled", "scale"}:
-            body = F.concat(F.lit("money:"), c["currency"], F.lit(":"), _decimal_text(c["scaled"], c["scale"]))
+            body = F.concat(F.lit("money:"), c["currency"], F.lit(":"), _decimal_text(c["scaled"].cast("string"), c["scale"]))
         elif {f.name for f in kind} == {"scaled", "scale"}:
-            body = F.concat(F.lit("d:"), _decimal_text(c["scaled"], c["scale"]))
+            body = F.concat(F.lit("d:"), _decimal_text(c["scaled"].cast("string"), c["scale"]))
         else:
             fields = sorted(kind, key=lambda f: f.name)
             each = [F.concat(escaped(F.lit(f.name)), F.lit(":"), canonical(c[f.name], f.dataType, f.metadata.get("logical_type"))) for f in fields]
@@ -67,20 +98,22 @@ def canonical(c: Column, kind: T.DataType, logical: str | None = None) -> Column
     elif isinstance(kind, (T.FloatType, T.DoubleType)):
         body = F.concat(F.lit("f:"), float_text(c.cast("double")))
     elif isinstance(kind, T.DecimalType):
-        body = F.concat(F.lit("u:"), c.cast("string")) if logical == "unsigned" else F.concat(F.lit("d:"), _decimal_text((c * F.lit(10 ** kind.scale)).cast(T.DecimalType(38, 0)) if kind.scale else c, F.lit(kind.scale)))
+        body = F.concat(F.lit("u:"), c.cast("string")) if logical == "unsigned" else F.concat(F.lit("d:"), _decimal_text(_unscaled(c, kind.scale), F.lit(kind.scale)))
     elif isinstance(kind, T.BinaryType):
         body = F.concat(F.lit("b:"), F.lower(F.hex(c)))
     elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        body = F.concat(F.lit("ts:"), F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("000Z"))
+        body = F.concat(F.lit("ts:"), _utc_text(c, kind))
     elif isinstance(kind, T.DateType):
         body = F.concat(F.lit("date:"), c.cast("string"))
     elif isinstance(kind, T.StringType):
         plain = {"uuid": ("uuid:", F.lower(c)), "date": ("date:", c), "duration": ("dur:", c), "url": ("url:", c), "email": ("email:", F.lower(c)), "ref": ("ref:", c), "enum": ("enum:", escaped(c))}
         head, text = plain.get(logical, ("s:", escaped(c)))
         body = F.concat(F.lit(head), text)
+    elif isinstance(kind, T.VariantType):
+        body = json_text(F.to_json(c))  # dates and binaries of a VARIANT are texts there
     else:
         raise StateError("unsupported_feature", f"no canonical form of {kind.simpleString()}")
-    return F.coalesce(body, F.lit("null"))
+    return F.coalesce(F.when(c.isNotNull(), body), F.lit("null"))
 
 
 def row_text(df: DataFrame, columns: list[str] | None = None) -> Column:

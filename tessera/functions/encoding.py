@@ -24,10 +24,15 @@ def varint(c: Column) -> Column:
 
 
 def unvarint(hexed: Column) -> Column:
-    """The value of LEB128 bytes in hex; null where they are empty or more than ten."""
+    """The value of LEB128 bytes in hex.
+
+    Null where they are no bytes, none or more than ten, where a byte but the last ends the value or the last does not, or
+    where they are beyond 64 bits.
+    """
     n = F.length(hexed) / 2
+    whole = hexed.rlike("^([89a-fA-F][0-9a-fA-F]){0,9}[0-7][0-9a-fA-F]$") & ((n < 10) | hexed.rlike("0[01]$"))
     parts = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)).cast("int")), lambda i: F.call_function("shiftleft", F.conv(F.substr(hexed, 2 * i + 1, F.lit(2)), 16, 10).cast("long").bitwiseAND(F.lit(127).cast("long")), 7 * i))
-    return F.when((n >= 1) & (n <= 10), F.aggregate(parts, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x)))
+    return F.when(whole, F.aggregate(parts, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x)))
 
 
 def checksum32(c: Column) -> Column:

@@ -13,6 +13,7 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.canonical import value_hash
 from ..functions.model import Op, StateError, Tagged, at_path, kind_of, path_parts, same
@@ -22,33 +23,106 @@ OPS = ("set", "replace", "remove", "append", "prepend", "insert", "increment", "
 # -- keyed tables -----------------------------------------------------------------------------------------------------
 
 
+_INTEGRAL = ("byte", "short", "integer", "long")
+_JSON = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+def _step(c: Column) -> Column:
+    """A key as a step of a path: '~' and '/' are written '~0' and '~1'."""
+    return F.replace(F.replace(c, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
+
+
+def _told(c: Column, kind: T.DataType) -> Column:
+    """A value as text that reads as the same value."""
+    if isinstance(kind, T.BinaryType):
+        return F.base64(c)
+    return c.cast("string") if isinstance(kind, T.AtomicType) and not isinstance(kind, T.VariantType) else F.to_json(c, _JSON)
+
+
+def _read(c: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.BinaryType):
+        return F.unbase64(c)
+    if isinstance(kind, T.VariantType):
+        return F.try_parse_json(c)
+    return c.cast(kind) if isinstance(kind, T.AtomicType) else F.from_json(c, kind, _JSON)
+
+
 def diff_tables(base: DataFrame, target: DataFrame, key: str) -> DataFrame:
-    """key, seq, kind, path, value (text): the changes of each row, removes first, then columns in name order.
+    """key, seq, kind, path, value (text): the changes of each row, columns in name order.
 
-    Integral columns change by increment or decrement, others by replace; a new row sets its object, a lost one is removed.
+    Integral columns change by increment or decrement, others by replace; a new row sets its object, nulls included, and a
+    lost one is removed. A column that only target has is set, one that only base has is removed, in each row they share.
     """
-    columns = sorted(set(base.columns) & set(target.columns) - {key})
-    integral = {c: base.schema[c].dataType.typeName() in ("byte", "short", "integer", "long") and target.schema[c].dataType.typeName() in ("byte", "short", "integer", "long") for c in columns}
-    a = base.select(F.col(key).alias("_ak"), F.lit(True).alias("_a"), *[F.col(c).alias(f"_a_{c}") for c in columns])
-    b = target.select(F.col(key).alias("_bk"), F.lit(True).alias("_b"), *[F.col(c).alias(f"_b_{c}") for c in columns])
+    columns = sorted((set(base.columns) | set(target.columns)) - {key})
+    old, new = ({f.name: f.dataType for f in df.schema} for df in (base, target))
+    q = lambda c: F.col(f"`{c}`")
+    a = base.select(q(key).alias("_ak"), F.lit(True).alias("_a"), F.struct(F.lit(0).alias("_none"), *[q(c).alias(c) for c in columns if c in old]).alias("_x"))
+    b = target.select(q(key).alias("_bk"), F.lit(True).alias("_b"), F.struct(F.lit(0).alias("_none"), *[q(c).alias(c) for c in columns if c in new]).alias("_y"))
     both = a.join(b, F.col("_ak").eqNullSafe(F.col("_bk")), "full")
+    none = F.lit(None).cast("string")
     op = lambda kind, path, value: F.struct(F.lit(kind).alias("kind") if isinstance(kind, str) else kind.alias("kind"), path.alias("path"), value.alias("value"))
     k = F.coalesce("_ak", "_bk")
-    at = F.concat(F.lit("/"), k.cast("string"))
+    at = F.concat(F.lit("/"), _step(F.coalesce(k.cast("string"), F.lit(""))))
     changes = []
     for c in columns:
-        x, y = F.col(f"_a_{c}"), F.col(f"_b_{c}")
-        path = F.concat(at, F.lit(f"/{c}"))
-        plain = op("replace", path, y.cast("string"))
-        if integral[c]:
-            d = y.cast("long") - x.cast("long")
-            plain = F.when(d.isNotNull(), op(F.when(d > 0, "increment").otherwise("decrement"), path, F.abs(d).cast("string"))).otherwise(plain)
-        changes.append(F.when(~x.eqNullSafe(y), plain))
-    new = op("set", at, F.to_json(F.struct(*[F.col(f"_b_{c}").alias(c) for c in columns])))
-    ops = F.when(F.col("_b").isNull(), F.array(op("remove", at, F.lit(None).cast("string")))).when(F.col("_a").isNull(), F.array(new)).otherwise(F.array_compact(F.array(*changes)))
+        path = F.concat(at, F.lit("/"), _step(F.lit(c)))
+        if c not in new:
+            changes.append(op("remove", path, none))
+            continue
+        y = F.col("_y").getField(c)
+        if c not in old:
+            changes.append(op("set", path, _told(y, new[c])))
+            continue
+        x = F.col("_x").getField(c)
+        plain = op("replace", path, _told(y, new[c]))
+        if old[c].typeName() in _INTEGRAL and new[c].typeName() in _INTEGRAL:
+            d = y.cast("decimal(20,0)") - x.cast("decimal(20,0)")
+            plain = F.when(d.isNotNull(), op(F.when(d > 0, "increment").otherwise("decrement"), path, F.abs(d).cast("decimal(20,0)").cast("string"))).otherwise(plain)
+            changes.append(F.when(~x.cast("long").eqNullSafe(y.cast("long")), plain))
+        elif old[c] == new[c] and not isinstance(new[c], (T.MapType, T.VariantType)):
+            changes.append(F.when(~x.eqNullSafe(y), plain))
+        else:
+            changes.append(F.when(~_told(x, old[c]).eqNullSafe(_told(y, new[c])), plain))
+    row = F.to_json(F.struct(*[F.col("_y").getField(c).alias(c) for c in columns if c in new]), _JSON) if set(columns) & set(new) else F.lit("{}")
+    ops = F.when(F.col("_b").isNull(), F.array(op("remove", at, none))).when(F.col("_a").isNull(), F.array(op("set", at, row))).otherwise(F.array_compact(F.array(*changes)) if changes else F.array().cast("array<struct<kind:string,path:string,value:string>>"))
     return both.select(k.alias(key), F.posexplode(ops).alias("seq", "_op")).select(key, F.col("seq").cast("long"), "_op.*")
 
 
+def apply_tables(base: DataFrame, ops: DataFrame, key: str, schema: T.StructType | None = None) -> DataFrame:
+    """base after the changes (key, seq, kind, path, value) of its rows, in the order of seq; schema: of the outcome, if not base's.
+
+    A row's set or remove voids what came before it, and a column's set, replace or remove the same for that column; after it
+    increments and decrements add up. All of this is aggregates, so that a key may have any number of changes. A removed
+    column is null, or goes where schema lacks it.
+    """
+    schema = schema or base.schema
+    fields = [f for f in schema if f.name != key]
+    q = lambda c: F.col(f"`{c}`")
+    step = F.get(F.split("path", "/"), 2)
+    ops = ops.select(q(key).alias("_k"), F.col("seq").alias("_seq"), F.col("kind").alias("_kind"), F.col("value").alias("_value"), F.replace(F.replace(step, F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~")).alias("_c"))
+    rows = ops.where("_c is null and _kind in ('set', 'replace', 'remove')").groupBy("_k").agg(F.max(F.struct("_seq", "_kind", "_value")).alias("_row"))
+    cells = ops.where("_c is not null").join(rows.select(F.col("_k").alias("_rk"), F.col("_row._seq").alias("_from")), F.col("_k").eqNullSafe(F.col("_rk")), "left").where("_from is null or _seq > _from")
+    resets = F.col("_kind").isin("set", "replace", "remove", "clear")
+    last = cells.where(resets).groupBy("_k", "_c").agg(F.max(F.struct("_seq", "_kind", "_value")).alias("_reset")).select(F.col("_k").alias("_lk"), F.col("_c").alias("_lc"), "_reset")
+    moved = cells.join(last, F.col("_k").eqNullSafe(F.col("_lk")) & (F.col("_c") == F.col("_lc")), "left").where("_reset is null or _seq >= _reset._seq")
+    by = F.col("_value").try_cast("decimal(38,0)")
+    moved = moved.groupBy("_k", "_c").agg(F.max("_reset").alias("_reset"), F.sum(F.when(F.col("_kind") == "increment", by).when(F.col("_kind") == "decrement", -by)).alias("_by"))
+    wide = moved.groupBy("_k").agg(*[F.max(F.when(F.col("_c") == f.name, F.struct(F.col("_reset").isNotNull().alias("set"), F.col("_reset._value").alias("to"), "_by"))).alias(f"_c{i}") for i, f in enumerate(fields)]) if fields else moved.select("_k").distinct()
+    changed = rows.join(wide.withColumnRenamed("_k", "_wk"), F.col("_k").eqNullSafe(F.col("_wk")), "full").select(F.coalesce("_k", "_wk").alias("_k"), F.lit(True).alias("_changed"), "_row", *[f"_c{i}" for i in range(len(fields))])
+    old = base.select(q(key).alias("_bk"), F.lit(True).alias("_here"), *[q(f.name).alias(f"_b{i}") if f.name in base.columns else F.lit(None).cast(f.dataType).alias(f"_b{i}") for i, f in enumerate(fields)])
+    both = old.join(changed, F.col("_bk").eqNullSafe(F.col("_k")), "full").where(F.coalesce(F.col("_row._kind") != "remove", F.col("_here"), F.lit(False)))
+    whole = F.from_json("_row._value", T.StructType(fields), _JSON) if fields else None
+    out = []
+    for i, f in enumerate(fields):
+        c, fresh = F.col(f"_c{i}"), F.coalesce(F.col("_row._kind").isin("set", "replace"), F.lit(False))
+        v = F.when(F.coalesce(c["set"], F.lit(False)), _read(c["to"], f.dataType)).when(fresh, whole[f.name]).otherwise(F.col(f"_b{i}").cast(f.dataType))
+        if f.dataType.typeName() in _INTEGRAL:
+            v = (v.cast("decimal(38,0)") + F.coalesce(c["_by"], F.lit(0).cast("decimal(38,0)"))).cast(f.dataType)
+        out.append(v.alias(f.name))
+    done = dict(zip([f.name for f in fields], out, strict=True))
+    return both.select(*[F.coalesce("_bk", "_k").cast(f.dataType).alias(key) if f.name == key else done[f.name] for f in schema])
+
+
 def fold_counters(ops: DataFrame, key: str, seq: str = "seq", kind: str = "kind", value: str = "value") -> DataFrame:
     """key, state (double): set, replace, increment, decrement, remove and clear of one number, in the order of seq.
 
@@ -66,6 +140,19 @@ def fold_counters(ops: DataFrame, key: str, seq: str = "seq", kind: str = "kind"
 # -- array and map columns ----------------------------------------------------------------------------------------------
 
 
+def append(a: Column, v: Column) -> Column:
+    return F.array_append(a, v)
+
+
+def prepend(a: Column, v: Column) -> Column:
+    return F.array_prepend(a, v)
+
+
+def clear(a: Column) -> Column:
+    """Empty, and null where it is null."""
+    return F.slice(a, 1, 0)
+
+
 def set_at(a: Column, i: int, v: Column) -> Column:
     """Sets an element; at the end appends; beyond it is null."""
     out = F.concat(F.slice(a, 1, i), F.array(v), F.slice(a, i + 2, F.greatest(F.size(a) - i - 1, F.lit(0))))
@@ -261,4 +348,4 @@ def apply_documents(df: DataFrame, key: str, base: str, delta: str, check: bool
     return _documents(df, key, base, delta, one)
 
 
-__all__ = ["OPS", "apply", "apply_documents", "at_path", "change", "diff", "diff_documents", "diff_tables", "fold_counters", "insert_at", "merge_maps", "remove_at", "set_at"]
+__all__ = ["OPS", "append", "apply", "apply_documents", "apply_tables", "at_path", "change", "clear", "diff", "diff_documents", "diff_tables", "fold_counters", "insert_at", "merge_maps", "prepend", "remove_at", "set_at"]

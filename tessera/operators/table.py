@@ -35,12 +35,12 @@ def filter_eq(df: DataFrame, column: str, value: Any) -> DataFrame:
     own = {bool: T.BooleanType, int: T.IntegralType, float: T.FractionalType, str: T.StringType, bytes: T.BinaryType}
     if value is not None and type(value) in own and not isinstance(kind, own[type(value)]):
         return df.where(F.lit(False))
-    return df.where(F.col(column).eqNullSafe(F.lit(value)))
+    return df.where(F.col(f"`{column}`").eqNullSafe(F.lit(value)))
 
 
 def numeric(column: str, op: str, value: float, kind: T.DataType) -> Column:
     """NaN matches nothing, whatever the order that Spark gives it."""
-    c = F.col(column)
+    c = F.col(f"`{column}`")
     test = _OPS[op](c, value)
     return test & ~F.isnan(c) if isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType) else test
 
@@ -51,7 +51,7 @@ def filter_numeric(df: DataFrame, column: str, op: str, value: float) -> DataFra
 
 
 def filter_bool(df: DataFrame, column: str, wanted: bool) -> DataFrame:
-    return df.where(F.col(column) == F.lit(wanted)) if isinstance(_known(df, column), T.BooleanType) else df.where(F.lit(False))
+    return df.where(F.col(f"`{column}`") == F.lit(wanted)) if isinstance(_known(df, column), T.BooleanType) else df.where(F.lit(False))
 
 
 def scan_numeric_gt(df: DataFrame, column: str, value: float) -> DataFrame:
@@ -76,19 +76,63 @@ def at_variant(doc: Column, path: str, kind: str) -> Column:
     return F.coalesce(*[F.try_variant_get(doc, p, kind) for p in variant_path(path)])
 
 
-#: Kinds that the strict accessors accept, by what schema_of_variant says.
-_STRICT = {"string": ("STRING",), "bigint": ("BIGINT", "INT", "SMALLINT", "TINYINT"), "boolean": ("BOOLEAN",), "double": ("DOUBLE", "FLOAT", "DECIMAL")}
+#: Kinds that the strict accessors accept, by what schema_of_variant says. An unsigned value beyond 63 bits is a decimal there.
+_STRICT = {"string": ("STRING",), "bigint": ("BIGINT", "INT", "SMALLINT", "TINYINT"), "boolean": ("BOOLEAN",), "double": ("DOUBLE", "FLOAT", "DECIMAL"), "unsigned": ("BIGINT", "INT", "SMALLINT", "TINYINT", "DECIMAL(19,0)", "DECIMAL(20,0)")}
+#: Tagged kinds whose value is a text.
+_TEXTS = ("timestamp", "date", "duration", "uuid", "ref")
+
+
+def _inner(doc: Column, path: str) -> Column:
+    return F.coalesce(*[F.try_variant_get(doc, p, "variant") for p in variant_path(path)])
+
+
+def kind_at(doc: Column, path: str) -> Column:
+    """Name of the kind of what is at a path of a VARIANT: its $type if it is tagged; null if there is nothing."""
+    inner = _inner(doc, path)
+    told = F.schema_of_variant(inner)
+    tag = F.try_variant_get(inner, '$["$type"]', "string")
+    out = F.when(inner.isNull(), F.lit(None).cast("string")).when(tag.isNotNull(), tag)
+    for head, kind in (("VOID", "null"), ("BOOLEAN", "bool"), ("DECIMAL(19,0)", "unsigned"), ("DECIMAL(20,0)", "unsigned"), ("DECIMAL", "float"), ("DOUBLE", "float"), ("FLOAT", "float"), ("STRING", "string"), ("ARRAY", "array"), ("OBJECT", "object"), ("BINARY", "bytes"), ("TIMESTAMP", "timestamp"), ("DATE", "date")):
+        out = out.when(told.startswith(head), F.lit(kind))
+    return out.otherwise(F.lit("int"))
 
 
 def get_strict(doc: Column, path: str, kind: str) -> Column:
-    """struct<value, error_code, error_path>: the value if it is of just that kind; VARIANT casts alone would be lenient."""
-    inner = F.coalesce(*[F.try_variant_get(doc, p, "variant") for p in variant_path(path)])
+    """struct<value, error_code, error_path>: the value if it is of just that kind; VARIANT casts alone would be lenient.
+
+    kind: string (also the text of a tagged timestamp, date, duration, uuid or ref), bigint, unsigned (as decimal), boolean,
+    double, or bytes (of a tagged value, as binary).
+    """
+    inner = _inner(doc, path)
     told = F.schema_of_variant(inner)
-    fits = F.lit(False)
-    for k in _STRICT[kind]:
-        fits = fits | told.startswith(k)
+    tag = F.try_variant_get(inner, '$["$type"]', "string")
+    if kind == "bytes":
+        fits, value = F.coalesce(tag == "bytes", F.lit(False)), F.try_to_binary(F.try_variant_get(inner, '$["$value"]', "string"), F.lit("base64"))
+    else:
+        fits = F.lit(False)
+        for k in _STRICT[kind]:
+            fits = fits | told.startswith(k)
+        value = F.try_variant_get(inner, "$", {"unsigned": "decimal(20,0)"}.get(kind, kind))
+        if kind == "unsigned":
+            fits = fits & (value >= 0)
+        if kind == "string":
+            text = F.coalesce(tag.isin(*_TEXTS), F.lit(False))
+            fits, value = fits | text, F.when(text, F.try_variant_get(inner, '$["$value"]', "string")).otherwise(value)
+    fits = F.coalesce(fits, F.lit(False))
     code = F.when(inner.isNull(), F.lit(1203)).when(~fits, F.lit(1102))
-    return F.struct(F.when(fits, F.try_variant_get(inner, "$", kind)).alias("value"), code.alias("error_code"), F.when(code.isNotNull(), F.lit(path)).alias("error_path"))
+    return F.struct(F.when(fits, value).alias("value"), code.alias("error_code"), F.when(code.isNotNull(), F.lit(path)).alias("error_path"))
+
+
+def table_rows(df: DataFrame, key: str, doc: str, columns: dict[str, str]) -> DataFrame:
+    """key, row_no and the named columns (with their types) of table documents in a column of tagged JSON, a row a table row.
+
+    Typed arrays and plain lists alike; a missing column, and the end of a shorter one, is null.
+    """
+    v = F.try_parse_json(F.col(f"`{doc}`"))
+    cell = lambda c, kind: F.coalesce(F.try_variant_get(v, f'$["$value"]["{c}"]["$value"]', f"array<{kind}>"), F.try_variant_get(v, f'$["$value"]["{c}"]', f"array<{kind}>"))
+    lists = df.where(kind_at(v, "/") == "table").select(F.col(f"`{key}`").alias(key), *[cell(c, kind).alias(c) for c, kind in columns.items()])
+    rows = lists.select(key, F.posexplode(F.arrays_zip(*[F.coalesce(F.col(f"`{c}`"), F.array().cast(f"array<{kind}>")).alias(c) for c, kind in columns.items()])).alias("row_no", "_row"))
+    return rows.select(key, "row_no", *[F.col(f"_row.`{c}`") for c in columns])
 
 
 def inspect(df: DataFrame, name: str) -> DataFrame:

@@ -15,7 +15,9 @@ from uuid import UUID
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from ..functions.canonical import value_hash
 from ..functions.model import StateError, Tagged
 from .jsonio import dumps, loads
 from .text import parse, write_value
@@ -232,7 +234,7 @@ def take(c: Cursor, depth: int = 0) -> Any:
         media = c.text() if c.take(1)[0] else None
         size = c.varint() if c.take(1)[0] else None
         return Tagged("blob_ref", {"uri": uri, "media_type": media, "size": size, "hash": c.take(c.varint()) if c.take(1)[0] else None})
-    raise StateError("type_mismatch", f"tag {tag:#x}")
+    raise StateError("validation_error", f"tag {tag:#x}")
 
 
 # -- columns --------------------------------------------------------------------------------------------------------------
@@ -371,7 +373,7 @@ def segments_of(data: bytes) -> list[tuple[int, str, int, bytes]]:
     if total != len(data):
         raise StateError("invalid_length", f"{total} of {len(data)} bytes")
     c.take(32 * ((flags & 1) + (flags >> 1 & 1)))
-    out = []
+    out: list[tuple[int, str, int, bytes]] = []
     for _ in range(n):
         number, kind, codec, at, size, told = struct.unpack("<HBBIII", c.take(16))
         if at + size > total or at < 11:
@@ -384,11 +386,45 @@ def segments_of(data: bytes) -> list[tuple[int, str, int, bytes]]:
         body = data[at : at + size]
         if checksum(body) != told:
             raise StateError("checksum_failed", str(number))
+        if name in _LISTS:
+            _check_texts(body, _LISTS[name], number)
         out.append((number, name, codec, body))
     return out
 
 
-def decode(data: bytes) -> Any:
+#: Segments that are lists of texts, and the error of a bad one.
+_LISTS = {"dictionary": "invalid_dictionary_ref", "shape_table": "invalid_shape_ref"}
+
+
+def _check_texts(body: bytes, error: str, number: int) -> None:
+    c = Cursor(body)
+    try:
+        for _ in range(c.count()):
+            c.text()
+        c.end()
+    except StateError as e:
+        raise StateError(error, f"segment {number}: {e.message}") from None
+
+
+def hashes_of(data: bytes) -> tuple[bytes | None, bytes | None]:
+    """The schema hash and the logical hash that the header tells."""
+    flags, at = data[4], 11
+    out: list[bytes | None] = []
+    for flag in (SCHEMA_HASH, LOGICAL_HASH):
+        out.append(data[at : at + 32] if flags & flag else None)
+        at += 32 * bool(flags & flag)
+    return out[0], out[1]
+
+
+def decode(data: bytes, check_hash: bool = False) -> Any:
+    """check_hash: the logical hash that the header tells, if any, must be that of the value."""
+    value = _decode(data)
+    if check_hash and (told := hashes_of(data)[1]) is not None and told.hex() != value_hash(value):
+        raise StateError("validation_error", "logical hash")
+    return value
+
+
+def _decode(data: bytes) -> Any:
     parts = segments_of(data)
     for _, kind, codec, body in parts:
         if kind == "column_data" and codec in MARKERS:
@@ -450,9 +486,48 @@ def _mapped(df: DataFrame, key: str, column: str, kind: str, f) -> DataFrame:
     return df.select(key, column).mapInArrow(run, f"{key} {own}, value {kind}, error_code int")
 
 
-def read(df: DataFrame, key: str, column: str) -> DataFrame:
+def read(df: DataFrame, key: str, column: str, check_hash: bool = False) -> DataFrame:
     """key, value (tagged JSON), error_code of a binary column."""
-    return _mapped(df, key, column, "string", lambda x: dumps(decode(bytes(x))))
+    return _mapped(df, key, column, "string", lambda x: dumps(decode(bytes(x), check_hash)))
+
+
+def _listed(df: DataFrame, key: str, column: str, schema: str, f) -> DataFrame:
+    """key, the columns of schema, error_code: the rows that f makes of each container, or one with its error."""
+    kind = df.schema[key].dataType.simpleString()
+    names = [x.split()[0] for x in schema.split(", ")]
+    own = df.select(key, column).limit(0).selectExpr(*[f"CAST(NULL AS {x.split()[1]}) AS {x.split()[0]}" for x in schema.split(", ")]).schema
+    arrow = [to_arrow_type(t.dataType) for t in own]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places, rows, codes = [], [], []
+            for i, x in enumerate(batch.column(1).to_pylist()):
+                try:
+                    new, code = ([] if x is None else f(bytes(x))), None
+                except StateError as e:
+                    new, code = [(None,) * len(names)], e.code
+                places += [i] * len(new)
+                rows += new
+                codes += [code] * len(new)
+            columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(places, pa.int64())), *[pa.array(c, t) for c, t in zip(columns, arrow, strict=True)], pa.array(codes, pa.int32())], [key, *names, "error_code"])
+
+    return df.select(key, column).mapInArrow(run, f"{key} {kind}, {schema}, error_code int")
+
+
+def segments(df: DataFrame, key: str, column: str) -> DataFrame:
+    """key, number, kind, codec, size, error_code: the checked segments of the containers of a binary column."""
+    return _listed(df, key, column, "number int, kind string, codec int, size long", lambda x: [(a, b, c, len(d)) for a, b, c, d in segments_of(x)])
+
+
+def hot_values(df: DataFrame, key: str, column: str, name: str) -> DataFrame:
+    """key, row_no, value (JSON), error_code: one field of the event batches of a binary column; other columns are skipped."""
+    return _listed(df, key, column, "row_no int, value string", lambda x: [(i, dumps(v)) for i, v in enumerate(field_values(x, name))])
+
+
+def counts_above(df: DataFrame, key: str, column: str, name: str, value: float) -> DataFrame:
+    """key, n, error_code: how many values of a numeric column are greater, in each of the tables of a binary column."""
+    return _listed(df, key, column, "n long", lambda x: [(count_greater(x, name, value),)])
 
 
 def write(df: DataFrame, key: str, column: str) -> DataFrame:
@@ -460,6 +535,11 @@ def write(df: DataFrame, key: str, column: str) -> DataFrame:
     return _mapped(df, key, column, "binary", lambda x: encode(loads(x)))
 
 
+def read_binary(spark: SparkSession, path: str) -> DataFrame:
+    """path, value (tagged JSON), error_code of the container files under a path."""
+    return read(spark.read.format("binaryFile").load(path), "path", "content")
+
+
 def load(spark: SparkSession, path: str) -> DataFrame:
     """path, value (tagged JSON), error_code of all files under a path, text or binary."""
     files = spark.read.format("binaryFile").load(path).select("path", "content", is_container(F.col("path"), F.col("content")).alias("_b"))

@@ -13,7 +13,8 @@ from typing import Any
 from uuid import UUID
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.model import Op, StateError, Tagged
 from .jsonio import ELEMENTS, dumps, element, loads
@@ -342,6 +343,12 @@ def read(df: DataFrame, key: str, column: str) -> DataFrame:
     return _mapped(df, key, column, lambda x: dumps(parse(x)))
 
 
+def read_text(spark: SparkSession, path: str) -> DataFrame:
+    """path, value (tagged JSON), error_code, error_path of the text files under a path."""
+    files = spark.read.format("binaryFile").load(path).select("path", F.decode("content", "UTF-8").alias("content"))
+    return read(files, "path", "content")
+
+
 def write(df: DataFrame, key: str, column: str) -> DataFrame:
     """key, value (text), error_code, error_path of a column of tagged JSON."""
     return _mapped(df, key, column, lambda x: write_value(loads(x)))
