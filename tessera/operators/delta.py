@@ -85,7 +85,8 @@ def diff_tables(base: DataFrame, target: DataFrame, key: str) -> DataFrame:
             changes.append(F.when(~_told(x, old[c]).eqNullSafe(_told(y, new[c])), plain))
     row = F.to_json(F.struct(*[F.col("_y").getField(c).alias(c) for c in columns if c in new]), _JSON) if set(columns) & set(new) else F.lit("{}")
     ops = F.when(F.col("_b").isNull(), F.array(op("remove", at, none))).when(F.col("_a").isNull(), F.array(op("set", at, row))).otherwise(F.array_compact(F.array(*changes)) if changes else F.array().cast("array<struct<kind:string,path:string,value:string>>"))
-    return both.select(k.alias(key), F.posexplode(ops).alias("seq", "_op")).select(key, F.col("seq").cast("long"), "_op.*")
+    listed = both.select(k.alias("_k"), ops.alias("_ops"))
+    return listed.select(F.col("_k").alias(key), F.posexplode("_ops").alias("seq", "_op")).select(q(key), F.col("seq").cast("long"), "_op.*")
 
 
 def apply_tables(base: DataFrame, ops: DataFrame, key: str, schema: T.StructType | None = None) -> DataFrame:
