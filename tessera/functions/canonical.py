@@ -169,7 +169,7 @@ def utc_nanos(text: str) -> str:
             raise ValueError
     except ValueError:
         raise StateError("validation_error", f"not an RFC 3339 timestamp: {text}") from None
-    return at.astimezone(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S") + "." + (digits + "0" * 9)[:9] + "Z"
+    return at.astimezone(timezone.utc).replace(tzinfo=None).isoformat(timespec="seconds") + "." + (digits + "0" * 9)[:9] + "Z"
 
 
 def value_text(v: Any) -> str:

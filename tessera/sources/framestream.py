@@ -31,6 +31,8 @@ SCHEMA = "kind string, message_id string, chunk_index long, chunk_count long, se
 def pack(frames: list[dict]) -> bytes:
     out = [MAGIC, struct.pack("<I", len(frames))]
     for f in frames:
+        if f["kind"] not in FRAME_KINDS:
+            raise StateError("type_mismatch", f"frame {f['kind']}")
         has = f.get("message_id") is not None
         out.append(struct.pack("<BB", FRAME_KINDS.index(f["kind"]) + 1, has))
         payload = bytes(f["payload"])
@@ -201,7 +203,7 @@ class _Writer(DataSourceWriter):
         self._drop(system, staging)
 
 
-class _StreamWriter(DataSourceStreamWriter, _Writer):
+class _StreamWriter(_Writer, DataSourceStreamWriter):
     """A batch that was committed before is not written twice."""
 
     def commit(self, messages: list[WriterCommitMessage | None], batchId: int) -> None:

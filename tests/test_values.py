@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 import struct
 
@@ -106,6 +107,50 @@ def test_malformed_containers_only_raise_state_errors():
     assert e.value.code == 1004
 
 
+def _patched(data, kind, at, byte):
+    """One byte of a segment changed, its checksum made right."""
+    out = bytearray(data)
+    for k in range(struct.unpack("<H", out[9:11])[0]):
+        head = 11 + 16 * k
+        _, number, _, place, size, _ = struct.unpack("<HBBIII", out[head : head + 16])
+        if container.SEGMENTS[number - 1] == kind:
+            out[place + at] = byte
+            out[head + 12 : head + 16] = struct.pack("<I", container.checksum(bytes(out[place : place + size])))
+    return bytes(out)
+
+
+@pytest.mark.parametrize("kind, at, byte, code", [("shape_table", 2, 0xFF, 1106), ("shape_table", 0, 9, 1106), ("dictionary", 0, 0, 1105), ("dictionary", 2, 0xFF, 1105), ("value_data", 0, 0xFE, 1302)])
+def test_segments_are_validated(kind, at, byte, code):
+    with pytest.raises(StateError) as e:
+        container.decode(_patched(container.encode({"x": 1}), kind, at, byte))
+    assert e.value.code == code
+
+
+def test_dictionary_references_and_wide_numbers():
+    events = [{"t": "a" if i % 2 else "b"} for i in range(70)]
+    data = container.encode(events)
+    body = next(b for _, k, _, b in container.segments_of(data) if k == "column_data")
+    with pytest.raises(StateError) as e:
+        container.decode(_patched(data, "column_data", len(body) - 1, 9))
+    assert e.value.code == 1105
+    body = b"\x10" + b"\xff" * 10
+    head = container.MAGIC + struct.pack("<BBIH", 1, 0, 27 + len(body), 1) + struct.pack("<HBBIII", 1, 5, 0, 27, len(body), container.checksum(body))
+    with pytest.raises(StateError) as e:
+        container.decode(head + body)
+    assert e.value.code == 1304
+
+
+def test_header_hashes():
+    own = bytes.fromhex(value_hash({"a": 1}))
+    data = container.encode({"a": 1}, b"s" * 32, own)
+    assert container.hashes_of(data) == (b"s" * 32, own) and container.decode(data, True) == {"a": 1}
+    other = container.encode({"a": 2}, None, own)
+    assert container.decode(other) == {"a": 2} and container.hashes_of(other) == (None, own)
+    with pytest.raises(StateError) as e:
+        container.decode(other, True)
+    assert e.value.code == 1302
+
+
 def test_frames_pack_and_unpack():
     frames = [{"kind": "chunk", "message_id": "m", "chunk_index": i, "chunk_count": 2, "segment_id": 0, "offset": 6 * i, "payload": p} for i, p in enumerate((b"hello ", b"world"))] + [{"kind": "checkpoint", "payload": b""}]
     data = framestream.pack(frames)
@@ -129,4 +174,5 @@ def test_command_line(tmp_path, capsys):
     capsys.readouterr()
     assert main(["hash", str(b)]) == 0 and main(["hash", str(tmp_path / "c.sxb")]) == 0
     x, y = capsys.readouterr().out.split()
+    assert main(["benchmark", "--seconds", "0.01"]) == 0 and json.loads(capsys.readouterr().out)["table_scan_10k"] > 0
     assert x == y and main(["inspect", str(tmp_path / "none")]) == 1
