@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, load
+from .common import SPACE, load, stored
 
 #: Open word list of the abuse rule; ASCII lower case.
 ABUSE = ("idiot", "moron", "stupid", "loser", "scum", "trash", "pathetic", "worthless", "disgusting", "clown", "imbecile", "bastard", "bitch", "retard", "asshole", "fuck", "shit", "cunt", "whore", "slut")
@@ -100,8 +100,11 @@ def ablations(book: DataFrame, policy: str) -> DataFrame:
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = ledger(load(spark, sf_dir, "documents"))
-    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~passes("base")).alias("base_failed"), passes("v2").alias("kept"), "failures")
+    """The ledger is stored; verdicts of its versions, and which rule alone rejects a document, are bit operations on it."""
+    book = stored(ledger(load(spark, sf_dir, "documents")))
+    failures = F.col("failures")
+    sole = F.when(failures.bitwiseAND(failures - 1) == 0, failures).otherwise(F.lit(0)).cast("long")
+    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~passes("base")).alias("base_failed"), passes("v2").alias("kept"), "failures", passes("v1").alias("kept_v1"), sole.alias("sole_failure"))
 
 
 _LIST = ", ".join(f"'{w}'" for w in ABUSE)
@@ -128,5 +131,5 @@ WITH d AS (
     + (CASE WHEN word_chars < 2 * n_words OR word_chars > 20 * n_words THEN 16 ELSE 0 END)
     + (CASE WHEN 2 * n_upper > word_chars THEN 32 ELSE 0 END) + (CASE WHEN n_abuse >= 2 THEN 64 ELSE 0 END) AS BIGINT) AS failures FROM m
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failures & 3 <> 0 AS base_failed, failures = 0 AS kept, failures FROM f
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failures & 3 <> 0 AS base_failed, failures = 0 AS kept, failures, failures & 31 = 0 AS kept_v1, CASE WHEN failures & (failures - 1) = 0 THEN failures ELSE 0 END AS sole_failure FROM f
 """

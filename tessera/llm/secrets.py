@@ -46,6 +46,8 @@ ONE_CLASS = "[A-Z]+|[a-z]+|[0-9]+|[+/]+"
 FALSE_SHARE = 0.01
 REJECT = 0.001
 
+#: Matches that are placed one after the other.
+BLOCK = 256
 SPAN = "array<struct<s:int,o:int,e:int>>"
 
 
@@ -56,15 +58,25 @@ def _spans(text: Column, pattern: str, kind: int, keep=None, value=None) -> Colu
     if keep is not None:
         parts = F.zip_with(parts, F.regexp_extract_all(text, p, 2), lambda x, g: F.struct(x["gap"].alias("gap"), x["m"].alias("m"), g.alias("g")))
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,o:int,e:int,m:string,ok:boolean>>").alias("out"))
+    span = lambda s, e, m, ok: F.struct(s.alias("s"), F.lit(kind).alias("o"), e.alias("e"), m.alias("m"), ok.alias("ok"))
 
     def step(a, x):
         s = a["at"] + x["gap"]
         e = s + F.length(x["m"])
         ok = keep(x["g"]) if keep is not None else F.lit(True)
-        one = F.struct(s.alias("s"), F.lit(kind).alias("o"), e.alias("e"), x["m"].alias("m"), ok.alias("ok"))
-        return F.when(x["m"].isNull(), a).otherwise(F.struct(e.alias("at"), F.concat(a["out"], F.array(one)).alias("out")))
+        return F.when(x["m"].isNull(), F.struct(s.alias("at"), a["out"].alias("out"))).otherwise(F.struct(e.alias("at"), F.concat(a["out"], F.array(span(s, e, x["m"], ok))).alias("out")))
 
-    found = F.filter(F.aggregate(parts, begin, step, lambda a: a["out"]), lambda x: x["ok"])
+    def within(p):
+        # a block's places are counted from its own start, so that no list grows with all matches of the text
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / BLOCK).cast("int")), lambda i: F.aggregate(F.slice(p, i * BLOCK + 1, F.lit(BLOCK)), begin, step))
+
+    def joined(blocks):
+        heads = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        heads = F.aggregate(blocks, heads, lambda a, b: F.struct((a["at"] + b["at"]).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+        return F.flatten(F.zip_with(blocks, heads, lambda b, h: F.transform(b["out"], lambda x: span(x["s"] + h, x["e"] + h, x["m"], x["ok"]))))
+
+    spans = F.transform(F.transform(F.array(parts), within), joined)[0]
+    found = F.filter(spans, lambda x: x["ok"])
     out = F.transform(found, value or (lambda x: F.struct(x["s"], x["o"], x["e"])))
     none = F.filter(F.transform(F.array(F.struct(F.lit(0).alias("s"), F.lit(kind).alias("o"), F.lit(0).alias("e"), F.lit("").alias("m"), F.lit(False).alias("ok"))), value or (lambda x: F.struct(x["s"], x["o"], x["e"]))), lambda x: F.lit(False))
     return F.when(text.rlike(pattern), out).otherwise(none)
@@ -180,9 +192,10 @@ def scan(documents: DataFrame, q: float = FALSE_SHARE) -> DataFrame:
 
 def redacted(documents: DataFrame, q: float = FALSE_SHARE, mark: str = "[SECRET]") -> DataFrame:
     """documents with each secret of a text replaced by mark; overlapping spans by one."""
-    t = threshold(stored(scanned(documents)), q)
-    columns = [F.col(f"`{c}`") for c in documents.columns]
-    rows = documents.select(F.struct(*columns).alias("_row"), F.col("text").alias("_t")).select("*", *[c.alias(n) for n, c in found(F.coalesce(F.col("_t"), F.lit(""))).items()])
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_row"), F.col("text").alias("_t"))
+    rows = stored(rows.select("_row", *[c.alias(n) for n, c in found(F.coalesce(F.col("_t"), F.lit(""))).items()]))  # each text is scanned once
+    t = threshold(rows, q)
+    rows = rows.withColumn("_t", F.col("_row.text"))
     spans = F.array_sort(F.concat("_base", accepted(t)))
     # at: what is written so far ends there; shown: end of the last span
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
