@@ -6,7 +6,7 @@ are drawn without replacement by these weights: each gets its log weight plus st
 kept, the whole law of Gumbel top-k, with no other cut. k is a share of the documents: the one that is given, or the share
 that rejection sampling by the same weights is expected to accept, the mean of min(1, weight).
 
-An n-gram says nothing where its ratio is within a factor of eight or a chance deviation, nor where the labelled bad rows do
+An n-gram says nothing where its ratio is within a factor of twenty or a chance deviation, nor where the labelled bad rows do
 not confirm it: text that is frequent in the raw text only because it is copied often is not bad for that. So neither length
 nor rare words nor copies decide. The model holds every n-gram that passes these tests, so it grows with what the labelled
 rows tell; n-grams of which the labelled rows alone say nothing are not counted over all documents.
@@ -39,8 +39,8 @@ LABEL_LIMIT = 100_000
 #: Added to both counts of a ratio.
 PRIOR = 0.5
 #: An n-gram counts if its ratio, either way, and its deviation in standard errors are at least these.
-LEAST_RATIO = 8.0
-LEAST_DEVIATION = 5.0
+LEAST_RATIO = 20.0
+LEAST_DEVIATION = 4.0
 
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[65:91] += 32
