@@ -563,9 +563,8 @@ def container_segments(spark, d):
 @add("container_round_trip", "SELECT p_partkey, '{\"brand\":\"' || p_brand || '\",\"key\":' || p_partkey || ',\"size\":' || p_size || '}' AS value, '535800' AS magic, CAST(NULL AS INTEGER) AS error_code FROM part")
 def container_round_trip(spark, d):
     t = load(spark, d, "part").select("p_partkey", F.to_json(F.struct(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("key"), F.col("p_size").alias("size"))).alias("j"))
-    packed = container.write(t, "p_partkey", "j").select("p_partkey", F.col("value").alias("b"))
-    back = container.read(packed, "p_partkey", "b")
-    return back.join(packed, "p_partkey").select("p_partkey", "value", F.hex(F.substr("b", F.lit(1), F.lit(3))).alias("magic"), "error_code")
+    packed = container.write(t, "p_partkey", "j").select(F.struct("p_partkey", F.hex(F.substr("value", F.lit(1), F.lit(3))).alias("magic")).alias("row"), F.col("value").alias("b"))
+    return container.read(packed, "row", "b").select("row.p_partkey", "value", "row.magic", "error_code")
 
 
 @add("container_malformed", "SELECT n_nationkey, CAST(CASE n_nationkey % 4 WHEN 0 THEN 1001 WHEN 1 THEN 1002 WHEN 2 THEN 1003 ELSE 1005 END AS INTEGER) AS error_code FROM nation")
