@@ -41,6 +41,8 @@ PRIOR = 0.5
 #: An n-gram counts if its ratio, either way, and its deviation in standard errors are at least these.
 LEAST_RATIO = 20.0
 LEAST_DEVIATION = 4.0
+#: And it stands in so many labelled documents, good or bad ones.
+LEAST_DOCUMENTS = 4
 
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[65:91] += 32
@@ -156,10 +158,14 @@ def ratios(documents: DataFrame, labels: DataFrame, limit: int = LABEL_LIMIT) ->
                 gram, at = np.unique(gram, return_inverse=True)
                 good = label[c.first + doc] == 1
                 sums = [np.bincount(at[x], minlength=len(gram)) for x in (good, ~good)]
-                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), *map(pa.array, sums)], ["gram", "good", "bad"])
-
-    seen = stored(texts.mapInArrow(tell, "gram long, good long, bad long").groupBy("gram").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")))
-    n_good, n_bad = (float(x or 0) for x in seen.agg(F.sum("good"), F.sum("bad")).first())
+                # without a gram: the sums over all
+                yield pa.RecordBatch.from_arrays([pa.array([*gram.view(np.int64).tolist(), None], pa.int64()), *[pa.array(np.append(x, x.sum())) for x in sums]], ["gram", "good", "bad"])
+
+    seen = texts.mapInArrow(tell, "gram long, good long, bad long").groupBy("gram").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    seen = stored(seen.where((F.greatest("good", "bad") >= LEAST_DOCUMENTS) | F.col("gram").isNull()))
+    totals = seen.where("gram is null").first()
+    n_good, n_bad = (float(totals["good"]), float(totals["bad"])) if totals else (0.0, 0.0)
+    seen = seen.where("gram is not null")
     none = (np.zeros(0, np.uint64), np.zeros(0))
     if not n_good or not n_bad:
         return none, known
