@@ -432,8 +432,8 @@ add("zigzag", "SELECT p_partkey, CASE WHEN v >= 0 THEN 2 * v ELSE -2 * v - 1 END
 add("varint", "SELECT event_id, CASE WHEN event_id < 128 THEN printf('%02x', event_id) WHEN event_id < 16384 THEN printf('%02x%02x', event_id % 128 + 128, event_id // 128) ELSE printf('%02x%02x%02x', event_id % 128 + 128, event_id // 128 % 128 + 128, event_id // 16384) END AS v, event_id AS back FROM events")(
     lambda spark, d: load(spark, d, "events").select("event_id", E.varint(F.col("event_id")).alias("v")).select("event_id", "v", E.unvarint(F.col("v")).alias("back"))
 )
-add("varint_wide", "SELECT event_id, CAST(CASE WHEN v < 34359738368 THEN 5 WHEN v < 4398046511104 THEN 6 WHEN v < 562949953421312 THEN 7 WHEN v < 72057594037927936 THEN 8 ELSE 9 END AS INTEGER) AS n_bytes, v AS back, CAST(10 AS INTEGER) AS n_negative FROM (SELECT event_id, event_id * 123456789012345 + 34359738367 AS v FROM events)")(
-    lambda spark, d: load(spark, d, "events").select("event_id", (F.col("event_id") * 123456789012345 + 34359738367).alias("v")).select("event_id", (F.length(E.varint(F.col("v"))) / 2).cast("int").alias("n_bytes"), E.unvarint(E.varint(F.col("v"))).alias("back"), (F.length(E.varint(-F.col("v"))) / 2).cast("int").alias("n_negative"))
+add("varint_wide", "SELECT event_id, CAST(CASE WHEN v < 34359738368 THEN 5 WHEN v < 4398046511104 THEN 6 WHEN v < 562949953421312 THEN 7 WHEN v < 72057594037927936 THEN 8 ELSE 9 END AS INTEGER) AS n_bytes, v AS back, CAST(10 AS INTEGER) AS n_negative FROM (SELECT event_id, event_id * 1234567890123 + 34359738367 AS v FROM events)")(
+    lambda spark, d: load(spark, d, "events").select("event_id", (F.col("event_id") * 1234567890123 + 34359738367).alias("v")).select("event_id", (F.length(E.varint(F.col("v"))) / 2).cast("int").alias("n_bytes"), E.unvarint(E.varint(F.col("v"))).alias("back"), (F.length(E.varint(-F.col("v"))) / 2).cast("int").alias("n_negative"))
 )
 add("varint_errors", "SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN p_partkey % 128 WHEN 7 THEN -1 END AS back FROM part")(
     lambda spark, d: load(spark, d, "part").select("p_partkey", E.unvarint(F.element_at(F.array(F.lower(F.lpad(F.hex(F.col("p_partkey") % 128), 2, "0")), *map(F.lit, ("80", "8001ff", "xyz1", "", "ffffffffffffffffff02", "8", "ffffffffffffffffff01"))), (F.col("p_partkey") % 8 + 1).cast("int"))).alias("back"))
