@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,12 +17,22 @@ def unzigzag(c: Column) -> Column:
     return F.shiftrightunsigned(c, 1).bitwiseXOR(-c.bitwiseAND(F.lit(1).cast("long")))
 
 
+#: LEB128 bytes that fit into one long beside each other; the others, three at most, make up a second one.
+_HEAD = 7
+
+
 def varint(c: Column) -> Column:
     """Hex of the LEB128 bytes of an unsigned 64-bit value."""
-    groups = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.struct(F.call_function("shiftrightunsigned", c.cast("long"), 7 * i).alias("rest"), i.alias("i")))
-    used = F.filter(groups, lambda g: (g["i"] == 0) | (g["rest"] != 0))
-    last = F.size(used) - 1
-    return F.array_join(F.transform(used, lambda g: F.lower(F.lpad(F.hex(g["rest"].bitwiseAND(F.lit(127).cast("long")) + F.when(g["i"] < last, 128).otherwise(0)), 2, "0"))), "")
+    c = c.cast("long")
+    rest = [c, *[F.shiftrightunsigned(c, 7 * i) for i in range(1, 10)], F.lit(0).cast("long")]
+    n = sum((F.when(r != 0, 1).otherwise(0) for r in rest[1:10]), F.lit(1))
+
+    def shown(at: range) -> Column:
+        """The bytes of these places, first ones first; of those beyond the last all bits are zero."""
+        bits = [F.shiftleft(rest[i].bitwiseAND(F.lit(127).cast("long")).bitwiseOR(F.when(rest[i + 1] != 0, F.lit(128)).otherwise(F.lit(0)).cast("long")), 8 * (at[-1] - i)) for i in at]
+        return F.substr(F.lpad(F.hex(reduce(Column.bitwiseOR, bits)), 2 * len(at), "0"), F.lit(1), 2 * F.greatest(n - at[0], F.lit(0)))
+
+    return F.lower(F.concat(shown(range(_HEAD)), F.when(rest[_HEAD] != 0, shown(range(_HEAD, 10))).otherwise("")))
 
 
 def unvarint(hexed: Column) -> Column:
@@ -29,10 +41,14 @@ def unvarint(hexed: Column) -> Column:
     Null where they are no bytes, none or more than ten, where a byte but the last ends the value or the last does not, or
     where they are beyond 64 bits.
     """
-    n = F.length(hexed) / 2
-    whole = hexed.rlike("^([89a-fA-F][0-9a-fA-F]){0,9}[0-7][0-9a-fA-F]$") & ((n < 10) | hexed.rlike("0[01]$"))
-    parts = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)).cast("int")), lambda i: F.call_function("shiftleft", F.conv(F.substr(hexed, 2 * i + 1, F.lit(2)), 16, 10).cast("long").bitwiseAND(F.lit(127).cast("long")), 7 * i))
-    return F.when(whole, F.aggregate(parts, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x)))
+    whole = hexed.rlike("^([89a-fA-F][0-9a-fA-F]){0,9}[0-7][0-9a-fA-F]$") & ((F.length(hexed) < 20) | hexed.rlike("0[01]$"))
+    fine = F.when(whole, hexed)
+    out = []
+    for at in (range(_HEAD), range(_HEAD, 10)):
+        # outside of any condition, so that it is computed once for all its bytes
+        part = F.conv(F.rpad(F.substr(fine, F.lit(2 * at[0] + 1), F.lit(2 * len(at))), 2 * len(at), "0"), 16, 10).cast("long")
+        out += [F.shiftleft(F.shiftrightunsigned(part, 8 * (at[-1] - i)).bitwiseAND(F.lit(127).cast("long")), 7 * i) for i in at]
+    return reduce(Column.bitwiseOR, out)
 
 
 def checksum32(c: Column) -> Column:

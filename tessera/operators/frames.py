@@ -8,16 +8,27 @@ from pyspark.sql import functions as F
 from ..functions.encoding import checksum32
 
 FRAME_KINDS = ("message", "chunk", "schema", "dictionary", "delta", "checkpoint")
+#: Chunks of a text beyond which it is cut in one pass.
+MANY = 64
 
 
 def split(df: DataFrame, message_id: str, payload: str, size: int) -> DataFrame:
-    """Chunk frames of at most size characters or bytes; an empty payload is one empty chunk, a null one none."""
-    n = F.greatest(F.ceil(F.length(payload) / size), F.lit(1)).cast("int")
-    cut = df.where(F.col(payload).isNotNull()).select(F.col(message_id).alias("message_id"), F.col(payload).alias("_p"), n.alias("chunk_count"))
-    cut = cut.select("message_id", "chunk_count", "_p", F.explode(F.sequence(F.lit(0), F.col("chunk_count") - 1)).alias("chunk_index"))
-    part = F.substr("_p", F.col("chunk_index") * size + 1, F.lit(size))
-    out = cut.select("message_id", "chunk_index", "chunk_count", (F.col("chunk_index").cast("long") * size).alias("offset"), part.alias("payload"))
-    return out.select(F.lit("chunk").alias("kind"), "message_id", "chunk_index", "chunk_count", F.lit(0).alias("segment_id"), "offset", F.length("payload").alias("length"), checksum32(F.col("payload")).alias("checksum"), "payload")
+    """Chunk frames of at most size characters or bytes; an empty payload is one empty chunk, a null one none.
+
+    Characters are counted from a text's start for each chunk, so a text of very many chunks is cut into pieces in one pass
+    first; one that is no valid UTF-8 keeps its bytes.
+    """
+    p = F.col(payload)
+    count = lambda c: F.greatest(F.ceil(F.length(c) / size), F.lit(1)).cast("int")
+    cut = df.where(p.isNotNull()).select(F.col(message_id).alias("message_id"), count(p).alias("chunk_count"), p.alias("_p"))
+    first = F.lit(0)
+    if df.schema[payload].dataType.typeName() == "string":
+        pieces = F.when((F.col("chunk_count") > MANY) & F.is_valid_utf8("_p"), F.regexp_extract_all("_p", F.lit(f"(?s).{{1,{MANY * size}}}"), 0)).otherwise(F.array("_p"))
+        cut = cut.select("message_id", "chunk_count", F.posexplode(pieces).alias("_piece", "_p"))
+        first = F.col("_piece") * MANY
+    cut = cut.select("*", F.explode(F.sequence(F.lit(0), count(F.col("_p")) - 1)).alias("_i"))
+    out = cut.select("message_id", (first + F.col("_i")).alias("chunk_index"), "chunk_count", F.substr("_p", F.col("_i") * size + 1, F.lit(size)).alias("payload"))
+    return out.select(F.lit("chunk").alias("kind"), "message_id", "chunk_index", "chunk_count", F.lit(0).alias("segment_id"), (F.col("chunk_index").cast("long") * size).alias("offset"), F.length("payload").alias("length"), checksum32(F.col("payload")).alias("checksum"), "payload")
 
 
 def checked(frames: DataFrame) -> DataFrame:

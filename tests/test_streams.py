@@ -181,3 +181,17 @@ def test_sql_functions(spark):
     registry.register(spark)
     row = spark.sql("""SELECT state_parse_text('{ a: [1, 2] }') AS p, state_field('{"a":{"b":7}}', '/a/b') AS f, state_canonical('{"a":1}') AS c, state_parse_text('{') AS bad""").first()
     assert (row["p"], row["f"], row["c"], row["bad"]) == ('{"a":[1,2]}', "7", "{a:i:1}", None)
+
+
+def test_long_texts_are_split_in_pieces(spark):
+    """The same chunks for texts of any length, kind and validity; those of a long text do not cost its square."""
+    long = "".join(chr(97 + k % 26) + ("é😀\n" if k % 7 == 0 else "") for k in range(300_000))
+    texts = [long, "é😀\nx" * 200, "abcdefg" * R.MANY, "abcdefg" * R.MANY + "h", "", None, "ab"]
+    got = R.split(spark.createDataFrame(list(enumerate(texts)), "id long, t string"), "id", "t", 7).collect()
+    for k, t in enumerate(texts):
+        own = sorted((r["chunk_index"], r["payload"], r["offset"], r["chunk_count"]) for r in got if r["message_id"] == k)
+        want = [] if t is None else [t[a : a + 7] for a in range(0, max(1, len(t)), 7)]
+        assert own == [(i, x, 7 * i, len(want)) for i, x in enumerate(want)]
+    odd = spark.createDataFrame([(1, b"\xff\xfe" + b"123456789" * 60)], "id long, b binary").selectExpr("id", "CAST(b AS string) AS t")
+    parts = R.split(odd, "id", "t", 4).selectExpr("chunk_index", "CAST(payload AS binary) AS b").collect()
+    assert b"".join(bytes(r["b"]) for r in sorted(parts)) == b"\xff\xfe" + b"123456789" * 60
