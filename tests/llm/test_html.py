@@ -102,3 +102,16 @@ def test_scores_are_those_of_the_named_features():
         named, scored = html.leaf_blocks(page), html.leaf_blocks(page, chain.weights)
         assert [b.text for b in named] == [b.text for b in scored] and [b.linked for b in named] == [b.linked for b in scored]
         assert [sum(chain.weights.get(f, 0.0) for f in b.features) for b in named] == pytest.approx([b.score for b in scored])
+
+
+def test_other_columns_and_repeated_rows(spark):
+    """Columns named as the query's own, null ids, addresses and pages, rows that repeat; the table may be empty."""
+    page = "<article><h1>A b</h1><p>One two three.</p></article><footer>&copy; x</footer>"
+    data = [(1, "u", page), (1, "u", page), (None, None, page), (2, "v", None), (3, "w", "")]
+    named = spark.createDataFrame([(*r, "x", 7, "y") for r in data], "page_id long, url string, html string, text string, n_chars int, own string")
+    plain = spark.createDataFrame(data, "page_id long, url string, html string")
+    told = lambda df: sorted(map(repr, html.extracted(df).collect()))
+    assert told(named) == told(plain) and len(told(plain)) == len(data)
+    got = {(r["page_id"], r["text"], r["n_chars"]) for r in html.extracted(named).collect()}
+    assert got == {(1, "A b\n\nOne two three.", 19), (None, "A b\n\nOne two three.", 19), (2, "", 0), (3, "", 0)}
+    assert html.extracted(named.limit(0)).columns == html.extracted(plain).columns and html.extracted(named.limit(0)).count() == 0

@@ -285,3 +285,24 @@ def test_packing_ids_of_all_documents():
 
 def test_packing_empty(empty):
     assert packing.packed(empty).count() == 0
+
+
+def test_packing_other_columns_and_repeated_rows(spark):
+    """Columns named as the query's own, null ids and texts, rows that repeat, and one text longer than a sequence by far."""
+    data = [(1, "a b c"), (1, "a b c"), (None, "d e"), (2, None), (3, ""), (4, "word " * 30_000)]
+    named = spark.createDataFrame([(*r, 1, "x", 2) for r in data], "doc_id long, text string, start int, ids string, length int").coalesce(1)
+    plain = spark.createDataFrame(data, "doc_id long, text string").coalesce(1)
+    told = lambda df: sorted(map(repr, packing.packed(df).collect()))
+    assert told(named) == told(plain)
+    size = lambda t: len(packing.Encoder().batch([t or ""])[0]) // 4 + 1
+    got = Counter()
+    for r in packing.packed(named).collect():
+        got[r["doc_id"]] += r["length"]
+    assert got == Counter({1: 2 * size("a b c"), None: size("d e"), 2: 1, 3: 1, 4: size(data[-1][1])})
+
+
+def test_simhash_other_columns_and_nulls(spark):
+    data = [(5, "a b c d e f"), (3, "A b C d e F"), (None, "a b c d e f"), (7, None), (8, ""), (9, " \n")]
+    named = spark.createDataFrame([(*r, "x", "y") for r in data], "doc_id long, text string, fingerprint string, component_id string")
+    got = [(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(named).collect()]
+    assert sorted(got, key=repr) == sorted([(5, 3), (3, 3), (None, 3), (7, 7), (8, 7), (9, 7)], key=repr)
