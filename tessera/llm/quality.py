@@ -32,6 +32,8 @@ from pyspark.sql import types as T
 
 from .common import Chunk, chunks, cut_at, load, mixed, prefix, span, stored, words_of
 
+#: Bytes of text whose n-grams are made at a time: the arrays take some eighty times as much, in each worker.
+PIECE = 1 << 18
 #: Added to the hashes of words, word pairs, shapes and shape pairs, so that these are apart.
 WORDS, SHAPES = (np.uint64(1), np.uint64(2)), (np.uint64(3), np.uint64(4))
 #: Labelled rows that the target model is fitted on at most, those of the least hashed id.
@@ -153,13 +155,13 @@ def ratios(documents: DataFrame, labels: DataFrame, limit: int = LABEL_LIMIT) ->
             label = look_up(batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(), *told.value)
             own = label >= 0
             batch, label = batch.filter(pa.array(own)), label[own]
-            for c in chunks(batch.column(1)):
+            for c in chunks(batch.column(1), PIECE):
                 gram, doc = distinct(*features(c))
                 gram, at = np.unique(gram, return_inverse=True)
                 good = label[c.first + doc] == 1
                 sums = [np.bincount(at[x], minlength=len(gram)) for x in (good, ~good)]
                 # without a gram: the sums over all
-                yield pa.RecordBatch.from_arrays([pa.array([*gram.view(np.int64).tolist(), None], pa.int64()), *[pa.array(np.append(x, x.sum())) for x in sums]], ["gram", "good", "bad"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(gram.view(np.int64), 0), mask=np.arange(len(gram) + 1) == len(gram)), *[pa.array(np.append(x, x.sum())) for x in sums]], ["gram", "good", "bad"])
 
     seen = texts.mapInArrow(tell, "gram long, good long, bad long").groupBy("gram").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
     seen = stored(seen.where((F.greatest("good", "bad") >= LEAST_DOCUMENTS) | F.col("gram").isNull()))
@@ -182,12 +184,12 @@ def ratios(documents: DataFrame, labels: DataFrame, limit: int = LABEL_LIMIT) ->
         table = Table(sent.value)
         sums, total = np.zeros(len(table.grams), np.int64), 0
         for batch in batches:
-            for c in chunks(batch.column(1)):
+            for c in chunks(batch.column(1), PIECE):
                 gram, doc = features(c)
                 total += len(np.unique(_once(gram, doc)))
                 sums += np.bincount(table.find(gram, doc)[0], minlength=len(sums))
         at = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int64()), pa.array([total, *sums[at].tolist()], pa.int64())], ["at", "raw"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, at)), pa.array(np.append(total, sums[at]))], ["at", "raw"])
 
     raw, n_raw = np.zeros(len(grams)), 0.0
     rows = texts.mapInArrow(count, "at long, raw long").groupBy("at").agg(F.sum("raw").alias("raw")).toArrow()
@@ -208,20 +210,21 @@ def with_weight(documents: DataFrame, ratio: tuple[np.ndarray, np.ndarray], name
     """documents (or doc_id alone) with two more columns: the log weight, and the log weight plus Gumbel noise."""
     sent = documents.sparkSession.sparkContext.broadcast(ratio)
     kept = documents.columns if text else ["doc_id"]
-    own = documents.select(*[F.col(f"`{c}`") for c in kept], noise(F.col("doc_id"), F.col("text"), seed).alias(names[1]), F.col("text").cast("binary").alias(names[0]))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf(T.DoubleType())
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         grams, ratio = sent.value
         table = Table(grams)
-        for batch in batches:
-            *columns, noise, texts = batch.columns
-            weight = np.zeros(batch.num_rows)
-            for c in chunks(texts):
+        for texts in batches:
+            weight = np.zeros(len(texts))
+            for c in chunks(texts, PIECE):
                 at, doc = table.find(*features(c))
                 weight[c.first : c.first + c.n] = np.bincount(doc, ratio[at], c.n)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(weight), pa.array(weight + noise.to_numpy())], [*kept, *names])
+            yield pa.array(weight)
 
-    return own.mapInArrow(score, own.select(*[F.col(f"`{n}`") for n in kept]).schema.add(names[0], "double").add(names[1], "double"))
+    # the text goes to Python once, a number comes back; the columns stay in the JVM
+    own = documents.select(*[F.col(f"`{c}`") for c in kept], noise(F.col("doc_id"), F.col("text"), seed).alias(names[1]), score(F.col("text").cast("binary")).alias(names[0]))
+    return own.select(*[F.col(f"`{c}`") for c in kept], names[0], (F.col(names[0]) + F.col(names[1])).alias(names[1]))
 
 
 def top_cut(scores: DataFrame, names: tuple[str, str], share: float | None) -> float:

@@ -273,6 +273,24 @@ def test_quality_tells_words_apart_that_share_a_bucket(spark):
     assert own.any() and (ratio[own] < 0).all()
 
 
+def test_scoring_sends_each_text_once_and_none_back(spark):
+    """Texts that went to Python twice, and back, took the executor's memory that the pipeline's other stages leave."""
+    texts = [(i, f"{i} " + "word " * 2000, "x") for i in range(200)]
+    size = sum(len(t) for _, t, _ in texts)
+    docs = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    ratio = (np.sort(quality.features(quality.Chunk(np.frombuffer(b"word", np.uint8), np.array([0, 4]), 0))[0][:1]), np.array([-2.0]))
+    scores = quality.with_weight(docs, ratio, ("w", "z"), True)
+    assert [tuple(r)[:4] for r in scores.collect()] == [(*t, -2.0) for t in texts]
+    moved, nodes = Counter(), [scores._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+        for name in ("pythonDataSent", "pythonDataReceived"):
+            if node.metrics().contains(name):
+                moved[name] += node.metrics().apply(name).value()
+    assert size <= moved["pythonDataSent"] < 1.5 * size and 0 < moved["pythonDataReceived"] < 0.1 * size
+
+
 def test_toxic_rows_are_bad_whatever_their_quality(spark):
     labels = spark.createDataFrame([(1, None, 1), (2, 1, None), (3, 0, 0), (4, None, 0), (5, 1, 1)], "doc_id long, quality int, toxic int")
     assert [x.tolist() for x in quality.labelled(labels)] == [[1, 2, 3, 5], [0, 1, 0, 0]]
