@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -138,3 +138,26 @@ def table_rows(df: DataFrame, key: str, doc: str, columns: dict[str, str]) -> Da
 def inspect(df: DataFrame, name: str) -> DataFrame:
     """name, n_rows, n_columns."""
     return df.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("name"), "n_rows", F.lit(len(df.columns)).cast("long").alias("n_columns"))
+
+
+#: Rows of a range of ids on average, and rows of a batch at most.
+_RANGE, _BATCH = 1 << 16, 256
+
+
+def batches(df: DataFrame, group: str, columns: list[str], size: int = _BATCH) -> DataFrame:
+    """group, first, rows: the rows of each group, ordered by the columns, in arrays of structs of size rows at most.
+
+    first is the number that the first of them has in its group. The first column is a number; its values are dealt to
+    ranges of equal width, so that no task gets or counts through a whole group. Nulls come last.
+    """
+    q = lambda c: F.col(f"`{c}`")
+    at = q(columns[0]).cast("double")
+    whole = df.agg(F.min(at).alias("_low"), F.max(at).alias("_high"), F.greatest(F.floor(F.count("*") / _RANGE), F.lit(1)).alias("_n"))
+    place = F.least(F.floor((at - F.col("_low")) / (F.col("_high") - F.col("_low") + 1) * F.col("_n")), F.col("_n") - 1)
+    dealt = df.crossJoin(F.broadcast(whole)).select(q(group).alias("_group"), F.struct(*[q(c) for c in columns]).alias("_row"), F.coalesce(place, F.col("_n")).alias("_part"))
+    before = F.coalesce(F.sum("_size").over(Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = dealt.groupBy("_group", "_part").agg(F.count("*").alias("_size")).select(F.col("_group").alias("_g"), F.col("_part").alias("_p"), before.alias("_start"))
+    number = F.row_number().over(Window.partitionBy("_group", "_part").orderBy(*[F.asc_nulls_last(F.col("_row").getField(c)) for c in columns])) - 1
+    listed = dealt.withColumn("_no", number).groupBy("_group", "_part", F.floor(F.col("_no") / size).alias("_batch")).agg(F.array_sort(F.collect_list(F.struct("_no", "_row"))).alias("_rows"))
+    placed = listed.join(F.broadcast(starts), F.col("_group").eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_p")))
+    return placed.select(F.col("_group").alias(group), (F.col("_start") + F.col("_batch") * size).alias("first"), F.transform("_rows", lambda x: x["_row"]).alias("rows"))

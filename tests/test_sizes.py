@@ -1,11 +1,60 @@
 """Work whose memory must not grow with the input, and the results it must keep."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessera.functions import encoding as E
+from tessera.operators import table as V
+from tessera.plans import queries as Q
 from tessera.sources import container
 
 
+def test_batches_number_the_rows_of_skewed_and_null_groups(spark):
+    """Against a plain row number: ids far apart, negative, null; a null group; equal ids."""
+    rows = [(i % 3 or None, i * i * (-1) ** i, str(i)) for i in range(900)] + [(1, None, "n"), (1, 10**17, "far"), (2, 4, "y"), (2, 4, "x")]
+    df = spark.createDataFrame(rows, "g long, id long, t string")
+    got = V.batches(df, "g", ["id", "t"], 70).collect()
+    assert all(1 <= len(r["rows"]) <= 70 for r in got)
+    told = sorted((r["g"] or 0, r["first"] + i, x["t"]) for r in got for i, x in enumerate(r["rows"]))
+    wanted = []
+    for g in (None, 1, 2):
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is None, r[1] or 0, r[2]))
+        wanted += [(g or 0, i, r[2]) for i, r in enumerate(own)]
+    assert told == sorted(wanted)
+
+
+def test_batches_are_cut_into_ranges(spark, monkeypatch):
+    monkeypatch.setattr(V, "_RANGE", 100)
+    df = spark.range(5000).select((F.col("id") % 4).alias("g"), "id")
+    got = V.batches(df, "g", ["id"]).collect()
+    assert max(len(r["rows"]) for r in got) <= 26  # 100 ids of four groups, and not 256
+    assert sorted((r["g"], r["first"] + i, x["id"]) for r in got for i, x in enumerate(r["rows"])) == sorted((i % 4, i // 4, i) for i in range(5000))
+
+
+def test_event_containers_have_hundreds_of_rows(spark):
+    """2,500 events of a key are no single container; a null event type keeps its row and number."""
+    sf = "/root/testdata/sf0.01"
+    sizes = [len(container.decode(bytes(r["b"]))) for r in Q._batches(spark, sf).collect()]
+    assert sum(sizes) == 10_000 and max(sizes) <= 256
+
+
+def test_hot_values_keep_the_rows_of_null_types(spark, tmp_path):
+    spark.createDataFrame([(i, 4, "a" if i % 2 else None, float(i)) for i in range(300)], "event_id long, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted((r["row_no"], r["value"]) for r in Q.QUERIES["container_hot_values"](spark, str(tmp_path)).collect())
+    assert got == [(i, '"a"' if i % 2 else None) for i in range(300)]
+
+
+def test_values_of_containers_are_handed_on_in_pieces(spark, monkeypatch):
+    """Of forty containers of a thousand values in one Arrow batch, never more than a few are held."""
+    caught = {}
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda self, f, schema: caught.update(f=f) or self)
+    container.hot_values(spark.range(1).select("id", F.lit(b"").alias("b")), "id", "b", "x")
+    packed = container.encode([{"x": i} for i in range(1000)])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40), pa.int64()), pa.array([packed] * 40, pa.binary())], ["id", "b"])
+    held = [b.num_rows for b in caught["f"](iter([batch]))]
+    assert sum(held) == 40_000 and max(held) < 10_000
+
+
 def test_varints_of_four_bytes_and_more(spark):
     """Beyond the three bytes of the query's SQL: as the container writes them."""
     wide = [2097151, 2097152, 4194304, 5999999, 268435455, 268435456, (1 << 63) - 1]
