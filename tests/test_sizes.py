@@ -60,3 +60,15 @@ def test_varints_of_four_bytes_and_more(spark):
     wide = [2097151, 2097152, 4194304, 5999999, 268435455, 268435456, (1 << 63) - 1]
     got = spark.createDataFrame([(x,) for x in wide], "x long").select("x", E.varint(F.col("x")).alias("v")).select("x", "v", E.unvarint(F.col("v")).alias("back")).collect()
     assert [(r["v"], r["back"]) for r in got] == [(container.put_varint(x).hex(), x) for x in wide]
+
+
+def test_containers_are_taken_out_of_arrow_in_pieces(spark, monkeypatch):
+    """A batch of 20 containers of 400 KB is no single list of values; the outcome is the same."""
+    caught = {}
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda self, f, schema: caught.update(f=f) or self)
+    container.read(spark.range(1).select("id", F.lit(b"").alias("b")), "id", "b")
+    packed = container.encode([{"x": i} for i in range(50_000)])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(20), pa.int64()), pa.array([packed] * 19 + [b"bad"], pa.binary())], ["id", "b"])
+    out = list(caught["f"](iter([batch])))
+    assert max(b.num_rows for b in out) < 20 and [i for b in out for i in b.column(0).to_pylist()] == list(range(20))
+    assert [c for b in out for c in b.column(2).to_pylist()] == [None] * 19 + [1001]
