@@ -29,6 +29,15 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def spread(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
+    """Columns of a table dealt out evenly, for work that costs far more than their shuffle.
+
+    A file of a few MB, or with few row groups, is read by a task or two, however many rows it has and cores there are.
+    """
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return load(spark, sf_dir, table).select(*columns).repartition(parts)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A folder for files of a query, in the folder that the cluster shares; only where none is set (tests), a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -469,10 +478,10 @@ add("text_format", "SELECT n_nationkey, '{' || chr(10) || '  id: ' || n_nationke
 
 
 add("text_message", "SELECT o_orderkey, '{\"$type\":\"message\",\"$value\":{\"fields\":{\"at\":{\"$type\":\"date\",\"$value\":\"' || strftime(o_orderdate, '%Y-%m-%d') || '\"},\"key\":' || o_orderkey || ',\"total\":{\"$type\":\"money\",\"$value\":{\"currency\":\"INR\",\"scale\":2,\"scaled\":' || CAST(floor(o_totalprice) AS BIGINT) * 100 + 25 || '}}},\"type\":\"OrderCreated\"}}' AS value FROM orders")(
-    lambda spark, d: text.read(load(spark, d, "orders").select("o_orderkey", F.concat(F.lit("message OrderCreated { key: "), F.col("o_orderkey").cast("string"), F.lit(', total: money("INR", "'), F.floor("o_totalprice").cast("string"), F.lit('.25", 2), at: date("'), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit('") }')).alias("t")), "o_orderkey", "t").select("o_orderkey", "value")
+    lambda spark, d: text.read(spread(spark, d, "orders", "o_orderkey", "o_orderdate", "o_totalprice").select("o_orderkey", F.concat(F.lit("message OrderCreated { key: "), F.col("o_orderkey").cast("string"), F.lit(', total: money("INR", "'), F.floor("o_totalprice").cast("string"), F.lit('.25", 2), at: date("'), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit('") }')).alias("t")), "o_orderkey", "t").select("o_orderkey", "value")
 )
 add("text_typed", "SELECT p_partkey, '{\"a\":{\"$type\":\"typed_array:u8\",\"$value\":[1,' || p_size || ']},\"b\":{\"$type\":\"bytes\",\"$value\":\"' || to_base64(encode(p_brand)) || '\"},\"d\":{\"$type\":\"decimal\",\"$value\":{\"scale\":3,\"scaled\":\"' || p_size * 1000 + 120 || '\"}},\"e\":\"' || p_type || '\",\"f\":{\"$type\":\"typed_array:f64\",\"$value\":[' || p_size || '.5]},\"u\":{\"$type\":\"uuid\",\"$value\":\"6f9619ff-8b86-d011-b42d-' || lpad(CAST(p_partkey AS VARCHAR), 12, '0') || '\"}}' AS value FROM part")(
-    lambda spark, d: text.read(load(spark, d, "part").select("p_partkey", F.concat(F.lit("{ a: u8[1, "), F.col("p_size").cast("string"), F.lit('], b: bytes("'), F.base64(F.col("p_brand").cast("binary")), F.lit('"), d: decimal("'), F.col("p_size").cast("string"), F.lit('.1209", 3), e: enum("'), F.col("p_type"), F.lit('"), f: f64['), F.col("p_size").cast("string"), F.lit('.5], u: uuid("6F9619FF-8B86-D011-B42D-'), F.lpad(F.col("p_partkey").cast("string"), 12, "0"), F.lit('") }')).alias("t")), "p_partkey", "t").select("p_partkey", "value")
+    lambda spark, d: text.read(spread(spark, d, "part", "p_partkey", "p_size", "p_brand", "p_type").select("p_partkey", F.concat(F.lit("{ a: u8[1, "), F.col("p_size").cast("string"), F.lit('], b: bytes("'), F.base64(F.col("p_brand").cast("binary")), F.lit('"), d: decimal("'), F.col("p_size").cast("string"), F.lit('.1209", 3), e: enum("'), F.col("p_type"), F.lit('"), f: f64['), F.col("p_size").cast("string"), F.lit('.5], u: uuid("6F9619FF-8B86-D011-B42D-'), F.lpad(F.col("p_partkey").cast("string"), 12, "0"), F.lit('") }')).alias("t")), "p_partkey", "t").select("p_partkey", "value")
 )
 
 

@@ -1,6 +1,7 @@
 """Work whose memory must not grow with the input, and the results it must keep."""
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import encoding as E
@@ -72,3 +73,10 @@ def test_containers_are_taken_out_of_arrow_in_pieces(spark, monkeypatch):
     out = list(caught["f"](iter([batch])))
     assert max(b.num_rows for b in out) < 20 and [i for b in out for i in b.column(0).to_pylist()] == list(range(20))
     assert [c for b in out for c in b.column(2).to_pylist()] == [None] * 19 + [1001]
+
+
+@pytest.mark.parametrize("name", ["text_typed", "text_message"])
+def test_rows_of_one_file_are_worked_on_by_all_tasks(spark, sf, name):
+    df = Q.QUERIES[name](spark, sf)
+    sizes = [n for n in df.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+    assert len(sizes) >= 4 and max(sizes) < 0.5 * sum(sizes)
