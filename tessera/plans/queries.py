@@ -501,17 +501,10 @@ add("text_schema", "SELECT n_nationkey, '{\"fields\":[{\"id\":1,\"name\":\"id\",
     lambda spark, d: text.read(load(spark, d, "nation").select("n_nationkey", F.concat(F.lit("schema Nation v"), F.col("n_nationkey").cast("string"), F.lit(' { #1 id: u32 #2 name?: string = "'), F.col("n_name"), F.lit('" }')).alias("t")), "n_nationkey", "t").select("n_nationkey", "value")
 )
 add("json_tags", "SELECT o_orderkey, '{\"b\":{\"$type\":\"bytes\",\"$value\":\"' || to_base64(encode(o_orderstatus)) || '\"},\"d\":{\"$type\":\"duration\",\"$value\":\"P' || o_custkey || 'D\"},\"r\":{\"$type\":\"ref\",\"$value\":\"/x/' || o_orderkey || '\"},\"t\":{\"$type\":\"timestamp\",\"$value\":\"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') || '\"},\"u\":18446744073709551615}' AS value, CAST(NULL AS INTEGER) AS error_code FROM orders")(
-    lambda spark, d: _there_and_back(load(spark, d, "orders").select("o_orderkey", F.concat(F.lit('{"u": 18446744073709551615, "t": '), jsonio.tagged("timestamp", F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")), F.lit(', "r": '), jsonio.tagged("ref", F.concat(F.lit("/x/"), F.col("o_orderkey").cast("string"))), F.lit(', "d": '), jsonio.tagged("duration", F.concat(F.lit("P"), F.col("o_custkey").cast("string"), F.lit("D"))), F.lit(', "b": '), jsonio.tagged("bytes", F.base64(F.col("o_orderstatus").cast("binary"))), F.lit("}")).alias("j")), "o_orderkey", "j")
+    lambda spark, d: container.there_and_back(spread(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate").select("o_orderkey", F.concat(F.lit('{"u": 18446744073709551615, "t": '), jsonio.tagged("timestamp", F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")), F.lit(', "r": '), jsonio.tagged("ref", F.concat(F.lit("/x/"), F.col("o_orderkey").cast("string"))), F.lit(', "d": '), jsonio.tagged("duration", F.concat(F.lit("P"), F.col("o_custkey").cast("string"), F.lit("D"))), F.lit(', "b": '), jsonio.tagged("bytes", F.base64(F.col("o_orderstatus").cast("binary"))), F.lit("}")).alias("j")), "o_orderkey", "j").select("o_orderkey", "value", "error_code")
 )
 
 
-def _there_and_back(t: DataFrame, key: str, column: str) -> DataFrame:
-    """Tagged JSON to a container, and to text, and back."""
-    packed = container.write(t, key, column).select(key, F.col("value").alias("b"))
-    shown = text.write(container.read(packed, key, "b"), key, "value").select(key, F.col("value").alias("t"))
-    return text.read(shown, key, "t").select(key, "value", "error_code")
-
-
 @add("accessors", """
 SELECT p_partkey, 'object' AS k0, 'int' AS k1, 'bytes' AS k2, 'unsigned' AS k3, 'array' AS k4, CAST(18446744073709551615 - p_partkey AS DECIMAL(20, 0)) AS big, p_brand AS b, strftime(DATE '2024-01-01' + p_size, '%Y-%m-%d') AS day, 1102 AS wrong, 1203 AS missing FROM part
 """)
@@ -570,7 +563,7 @@ def container_segments(spark, d):
 
 @add("container_round_trip", "SELECT p_partkey, '{\"brand\":\"' || p_brand || '\",\"key\":' || p_partkey || ',\"size\":' || p_size || '}' AS value, '535800' AS magic, CAST(NULL AS INTEGER) AS error_code FROM part")
 def container_round_trip(spark, d):
-    t = load(spark, d, "part").select("p_partkey", F.to_json(F.struct(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("key"), F.col("p_size").alias("size"))).alias("j"))
+    t = spread(spark, d, "part", "p_partkey", "p_brand", "p_size").select("p_partkey", F.to_json(F.struct(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("key"), F.col("p_size").alias("size"))).alias("j"))
     packed = container.write(t, "p_partkey", "j").select(F.struct("p_partkey", F.hex(F.substr("value", F.lit(1), F.lit(3))).alias("magic")).alias("row"), F.col("value").alias("b"))
     return container.read(packed, "row", "b").select("row.p_partkey", "value", "row.magic", "error_code")
 

@@ -5,9 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import encoding as E
+from tessera.functions.model import StateError
 from tessera.operators import table as V
 from tessera.plans import queries as Q
-from tessera.sources import container
+from tessera.sources import container, text
 
 
 def test_batches_number_the_rows_of_skewed_and_null_groups(spark):
@@ -75,8 +76,31 @@ def test_containers_are_taken_out_of_arrow_in_pieces(spark, monkeypatch):
     assert [c for b in out for c in b.column(2).to_pylist()] == [None] * 19 + [1001]
 
 
-@pytest.mark.parametrize("name", ["text_typed", "text_message"])
+@pytest.mark.parametrize("name", ["text_typed", "text_message", "json_tags", "container_round_trip"])
 def test_rows_of_one_file_are_worked_on_by_all_tasks(spark, sf, name):
     df = Q.QUERIES[name](spark, sf)
     sizes = [n for n in df.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
     assert len(sizes) >= 4 and max(sizes) < 0.5 * sum(sizes)
+
+
+def test_there_and_back_is_one_pass(spark, sf):
+    """And not four, each with a Python worker in every task; the outcome is that of four, and the first error is told."""
+    plan = Q.QUERIES["json_tags"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[0].count("MapInArrow") == 1
+    docs = ['{"a":[1,2.5,null],"b":{"$type":"bytes","$value":"Tw=="}}', '{"u":18446744073709551615}', None, "{", '{"$type":"bytes","$value":"?"}', '" é\\n"']
+    df = spark.createDataFrame(list(enumerate(docs)), "id long, j string")
+    packed = container.write(df, "id", "j")
+    steps = text.read(text.write(container.read(packed.select("id", "value"), "id", "value").select("id", "value"), "id", "value").select("id", "value"), "id", "value").select("id", "value")
+    got = container.there_and_back(df, "id", "j").collect()
+    assert sorted((r["id"], r["value"]) for r in got) == sorted((r["id"], r["value"]) for r in steps.collect())
+    assert {r["id"]: r["error_code"] for r in got if r["error_code"]} == {3: 1301, 4: 1301}
+
+
+@pytest.mark.parametrize("text_, place", [("  { a: 1 /* x", "1:10"), ("{ a: ! }", "1:6"), ("{ a:\n   ! }", "2:4"), (" /* c */ { a: 1 } // d \n ", None), (" \n ", "2:2"), ("{ a: 1 }  x ", "1:11")])
+def test_places_of_errors_after_blanks(text_, place):
+    if place is None:
+        assert text.parse(text_) == {"a": 1}
+        return
+    with pytest.raises(StateError) as e:
+        text.parse(text_)
+    assert e.value.name == "parse_error" and e.value.path == place
