@@ -229,7 +229,7 @@ add("apply_set_merge", "SELECT n_nationkey, 'x' AS a, CAST(n_regionkey AS VARCHA
 
 
 def _documents(spark, d) -> DataFrame:
-    t = load(spark, d, "customer")
+    t = spread(spark, d, "customer", "c_custkey", "c_name", "c_acctbal", "c_mktsegment")
     body = lambda balance, tags: F.to_json(F.struct(F.struct("c_name", balance.alias("balance")).alias("account"), tags.alias("tags")))
     return t.select("c_custkey", body(F.floor("c_acctbal"), F.array("c_mktsegment", F.lit("x"))).alias("base"), body(F.floor("c_acctbal") + F.col("c_custkey") % 3, F.when(F.col("c_custkey") % 2 == 0, F.array("c_mktsegment")).otherwise(F.array("c_mktsegment", F.lit("x"), F.lit("y")))).alias("target"))
 
@@ -267,7 +267,7 @@ def apply_tables(spark, d):
 SELECT c_custkey, '{"c":' || c_custkey + 5 || ',"l":[' || c_nationkey || ',2,3],"m":{"name":"' || c_name || '"},"n":' || c_custkey + 5 || ',"r":"new"}' AS value, CAST(NULL AS INTEGER) AS error_code FROM customer
 """)
 def apply_move_copy(spark, d):
-    t = load(spark, d, "customer").select("c_custkey", F.to_json(F.struct(F.col("c_custkey").alias("n"), F.col("c_name").alias("x"), F.lit("old").alias("r"), F.array(F.lit(2)).alias("l"), F.struct().alias("m"))).alias("base"), F.concat(F.lit("delta { inc /n by 5 copy /c from /n move /m/name from /x replace /r \"new\" append /l 3 prepend /l "), F.col("c_nationkey").cast("string"), F.lit(" }")).alias("t"))
+    t = spread(spark, d, "customer", "c_custkey", "c_name", "c_nationkey").select("c_custkey", F.to_json(F.struct(F.col("c_custkey").alias("n"), F.col("c_name").alias("x"), F.lit("old").alias("r"), F.array(F.lit(2)).alias("l"), F.struct().alias("m"))).alias("base"), F.concat(F.lit("delta { inc /n by 5 copy /c from /n move /m/name from /x replace /r \"new\" append /l 3 prepend /l "), F.col("c_nationkey").cast("string"), F.lit(" }")).alias("t"))
     told = text.read(t.select(F.struct("c_custkey", "base").alias("row"), "t"), "row", "t").select("row.c_custkey", "row.base", F.col("value").alias("delta"))
     return D.apply_documents(told, "c_custkey", "base", "delta").select("c_custkey", "value", "error_code")
 
@@ -275,7 +275,7 @@ def apply_move_copy(spark, d):
 @add("apply_delta_errors", "SELECT c_custkey, CAST(CASE c_custkey % 4 WHEN 0 THEN 1203 WHEN 1 THEN 1102 WHEN 2 THEN 1203 END AS INTEGER) AS error_code, CASE c_custkey % 4 WHEN 0 THEN '/a/b/c' WHEN 1 THEN '/s' WHEN 2 THEN '/none' END AS error_path FROM customer")
 def apply_delta_errors(spark, d):
     k = F.col("c_custkey") % 4
-    t = load(spark, d, "customer").select("c_custkey", F.lit('{"s":"x","n":1}').alias("base"), F.when(k == 0, "delta { set /a/b/c = 1 }").when(k == 1, "delta { set /n = 2 inc /s by 1 }").when(k == 2, "delta { move /m from /none }").otherwise("delta { remove /n }").alias("t"))
+    t = spread(spark, d, "customer", "c_custkey").select("c_custkey", F.lit('{"s":"x","n":1}').alias("base"), F.when(k == 0, "delta { set /a/b/c = 1 }").when(k == 1, "delta { set /n = 2 inc /s by 1 }").when(k == 2, "delta { move /m from /none }").otherwise("delta { remove /n }").alias("t"))
     told = text.read(t.select(F.struct("c_custkey", "base").alias("row"), "t"), "row", "t").select("row.c_custkey", "row.base", F.col("value").alias("delta"))
     return D.apply_documents(told, "c_custkey", "base", "delta").select("c_custkey", "error_code", "error_path")
 
