@@ -511,7 +511,7 @@ SELECT p_partkey, 'object' AS k0, 'int' AS k1, 'bytes' AS k2, 'unsigned' AS k3,
 def accessors(spark, d):
     doc = F.concat(F.lit('{"i": '), F.col("p_size").cast("string"), F.lit(', "l": [], "u": '), (F.lit("18446744073709551615").cast("decimal(20,0)") - F.col("p_partkey")).cast("decimal(20,0)").cast("string"), F.lit(', "b": '), jsonio.tagged("bytes", F.base64(F.col("p_brand").cast("binary"))), F.lit(', "d": '), jsonio.tagged("date", F.date_add(F.lit("2024-01-01").cast("date"), F.col("p_size")).cast("string")), F.lit("}"))
     v = F.col("v")
-    t = load(spark, d, "part").select("p_partkey", F.parse_json(doc).alias("v"))
+    t = spread(spark, d, "part", "p_partkey", "p_size", "p_brand").select("p_partkey", F.parse_json(doc).alias("v"))
     return t.select("p_partkey", *[V.kind_at(v, p).alias(f"k{i}") for i, p in enumerate(("/", "/i", "/b", "/u", "/l"))], V.get_strict(v, "/u", "unsigned")["value"].alias("big"), F.decode(V.get_strict(v, "/b", "bytes")["value"], "UTF-8").alias("b"), V.get_strict(v, "/d", "string")["value"].alias("day"), V.get_strict(v, "/d", "bytes")["error_code"].alias("wrong"), V.get_strict(v, "/none", "unsigned")["error_code"].alias("missing"))
 
 

@@ -76,7 +76,7 @@ def test_containers_are_taken_out_of_arrow_in_pieces(spark, monkeypatch):
     assert [c for b in out for c in b.column(2).to_pylist()] == [None] * 19 + [1001]
 
 
-@pytest.mark.parametrize("name", ["text_typed", "text_message", "json_tags", "container_round_trip", "apply_move_copy", "apply_nested_delta", "apply_delta_errors"])
+@pytest.mark.parametrize("name", ["text_typed", "text_message", "json_tags", "container_round_trip", "apply_move_copy", "apply_nested_delta", "apply_delta_errors", "accessors"])
 def test_rows_of_one_file_are_worked_on_by_all_tasks(spark, sf, name):
     df = Q.QUERIES[name](spark, sf)
     sizes = [n for n in df.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
