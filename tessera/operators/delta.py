@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -94,32 +94,33 @@ def apply_tables(base: DataFrame, ops: DataFrame, key: str, schema: T.StructType
     """base after the changes (key, seq, kind, path, value) of its rows, in the order of seq; schema: of the outcome, if not base's.
 
     A row's set or remove voids what came before it, and a column's set, replace or remove the same for that column; after it
-    increments and decrements add up. All of this is aggregates, so that a key may have any number of changes. A removed
-    column is null, or goes where schema lacks it.
+    increments and decrements add up. All of this is windows that spill and aggregates, so that a key may have any number of
+    changes, and the changes, which may be costly to make, are made once. A removed column is null, or goes where schema
+    lacks it.
     """
     schema = schema or base.schema
     fields = [f for f in schema if f.name != key]
     q = lambda c: F.col(f"`{c}`")
     step = F.get(F.split("path", "/"), 2)
     ops = ops.select(q(key).alias("_k"), F.col("seq").alias("_seq"), F.col("kind").alias("_kind"), F.col("value").alias("_value"), F.replace(F.replace(step, F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~")).alias("_c"))
-    rows = ops.where("_c is null and _kind in ('set', 'replace', 'remove')").groupBy("_k").agg(F.max(F.struct("_seq", "_kind", "_value")).alias("_row"))
-    cells = ops.where("_c is not null").join(rows.select(F.col("_k").alias("_rk"), F.col("_row._seq").alias("_from")), F.col("_k").eqNullSafe(F.col("_rk")), "left").where("_from is null or _seq > _from")
-    resets = F.col("_kind").isin("set", "replace", "remove", "clear")
-    last = cells.where(resets).groupBy("_k", "_c").agg(F.max(F.struct("_seq", "_kind", "_value")).alias("_reset")).select(F.col("_k").alias("_lk"), F.col("_c").alias("_lc"), "_reset")
-    moved = cells.join(last, F.col("_k").eqNullSafe(F.col("_lk")) & (F.col("_c") == F.col("_lc")), "left").where("_reset is null or _seq >= _reset._seq")
-    by = F.col("_value").try_cast("decimal(38,0)")
-    moved = moved.groupBy("_k", "_c").agg(F.max("_reset").alias("_reset"), F.sum(F.when(F.col("_kind") == "increment", by).when(F.col("_kind") == "decrement", -by)).alias("_by"))
-    wide = moved.groupBy("_k").agg(*[F.max(F.when(F.col("_c") == f.name, F.struct(F.col("_reset").isNotNull().alias("set"), F.col("_reset._value").alias("to"), "_by"))).alias(f"_c{i}") for i, f in enumerate(fields)]) if fields else moved.select("_k").distinct()
-    changed = rows.join(wide.withColumnRenamed("_k", "_wk"), F.col("_k").eqNullSafe(F.col("_wk")), "full").select(F.coalesce("_k", "_wk").alias("_k"), F.lit(True).alias("_changed"), "_row", *[f"_c{i}" for i in range(len(fields))])
+    resets, by, change = F.col("_kind").isin("set", "replace", "remove", "clear"), F.col("_value").try_cast("decimal(38,0)"), F.struct("_seq", "_kind", "_value")
+    # one shuffle by key and one sort: the order by column is that of the second window
+    every = Window.partitionBy("_k").orderBy("_c").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    told = ops.where(F.col("_c").isin([f.name for f in fields]) | F.expr("_c is null and _kind in ('set', 'replace', 'remove')"))
+    told = told.withColumn("_row", F.max(F.when(F.col("_c").isNull(), change)).over(every)).withColumn("_live", F.expr("_c is not null and (_row is null or _seq > _row._seq)"))
+    told = told.withColumn("_reset", F.max(F.when(F.col("_live") & resets, change)).over(Window.partitionBy("_k", "_c")))
+    moved = F.when(F.expr("_live and (_reset is null or _seq >= _reset._seq)"), F.when(F.col("_kind") == "increment", by).when(F.col("_kind") == "decrement", -by))
+    own = lambda f, c: F.when(F.col("_c") == f.name, c)
+    changed = told.groupBy("_k").agg(F.max("_row").alias("_row"), *[x for i, f in enumerate(fields) for x in (F.max(own(f, F.when(F.col("_live"), F.col("_reset")))).alias(f"_c{i}"), F.sum(own(f, moved)).alias(f"_by{i}"))])
     old = base.select(q(key).alias("_bk"), F.lit(True).alias("_here"), *[q(f.name).alias(f"_b{i}") if f.name in base.columns else F.lit(None).cast(f.dataType).alias(f"_b{i}") for i, f in enumerate(fields)])
     both = old.join(changed, F.col("_bk").eqNullSafe(F.col("_k")), "full").where(F.coalesce(F.col("_row._kind") != "remove", F.col("_here"), F.lit(False)))
     whole = F.from_json("_row._value", T.StructType(fields), _JSON) if fields else None
     out = []
     for i, f in enumerate(fields):
         c, fresh = F.col(f"_c{i}"), F.coalesce(F.col("_row._kind").isin("set", "replace"), F.lit(False))
-        v = F.when(F.coalesce(c["set"], F.lit(False)), _read(c["to"], f.dataType)).when(fresh, whole[f.name]).otherwise(F.col(f"_b{i}").cast(f.dataType))
+        v = F.when(c.isNotNull(), _read(c["_value"], f.dataType)).when(fresh, whole[f.name]).otherwise(F.col(f"_b{i}").cast(f.dataType))
         if f.dataType.typeName() in _INTEGRAL:
-            v = (v.cast("decimal(38,0)") + F.coalesce(c["_by"], F.lit(0).cast("decimal(38,0)"))).cast(f.dataType)
+            v = (v.cast("decimal(38,0)") + F.coalesce(F.col(f"_by{i}"), F.lit(0).cast("decimal(38,0)"))).cast(f.dataType)
         out.append(v.alias(f.name))
     done = dict(zip([f.name for f in fields], out, strict=True))
     return both.select(*[F.coalesce("_bk", "_k").cast(f.dataType).alias(key) if f.name == key else done[f.name] for f in schema])

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import encoding as E
 from tessera.functions.model import StateError
+from tessera.operators import delta as D
 from tessera.operators import table as V
 from tessera.plans import queries as Q
 from tessera.sources import container, text
@@ -104,3 +105,38 @@ def test_places_of_errors_after_blanks(text_, place):
     with pytest.raises(StateError) as e:
         text.parse(text_)
     assert e.value.name == "parse_error" and e.value.path == place
+
+
+def test_changes_of_tables_are_made_once(spark, sf):
+    plan = Q.QUERIES["apply_tables"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[0].count("Generate posexplode") == 1
+
+
+def test_changes_of_tables_against_a_plain_fold(spark):
+    """Row and column changes of all kinds mixed; null keys, keys without a base row, columns that the schema lacks."""
+    import json
+    import random
+
+    rnd = random.Random(5)
+    base = {k: {"n": k or 0, "s": f"b{k}"} for k in (None, *range(1, 40))}
+    ops = []
+    for k in (None, *range(1, 60)):
+        for seq in rnd.sample(range(30), rnd.randrange(7)):
+            kind = rnd.choice(["set", "remove", "increment", "decrement", "replace", "clear"])
+            c = rnd.choice([None, "n", "s", "gone"]) if kind in ("set", "remove", "replace") else rnd.choice(["n", "gone"]) if kind != "clear" else "s"
+            value = json.dumps({"n": seq, "s": "r"}) if c is None and kind != "remove" else None if kind in ("remove", "clear") else str(rnd.randrange(9))
+            ops.append((k, seq, kind, f"/{k}" + (f"/{c}" if c else ""), value))
+    wanted = []
+    for k in (None, *range(1, 60)):
+        row = dict(base[k]) if k in base else None
+        for _, _, kind, path, value in sorted((o for o in ops if o[0] == k), key=lambda o: o[1]):
+            c = path.split("/")[2] if path.count("/") > 1 else None
+            if c is None:
+                row = None if kind == "remove" else json.loads(value)
+            elif row is not None and c != "gone":
+                by = {"increment": 1, "decrement": -1}.get(kind)
+                row[c] = (None if row[c] is None else row[c] + by * int(value)) if by else value if value is None or c == "s" else int(value)
+        if row is not None:
+            wanted.append((k or 0, row["n"], row["s"]))
+    got = D.apply_tables(spark.createDataFrame([(k, r["n"], r["s"]) for k, r in base.items()], "k long, n long, s string"), spark.createDataFrame(ops, "k long, seq long, kind string, path string, value string"), "k")
+    assert sorted((r["k"] or 0, r["n"] if r["n"] is not None else -99, r["s"] or "") for r in got.collect()) == sorted((k, n if n is not None else -99, s or "") for k, n, s in wanted)
